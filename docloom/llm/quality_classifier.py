@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of byte n-grams are scaled by their log-count ratios between the classes, each document's vector to length one, and
-a linear hinge-loss model is fitted by dual coordinate descent. The counts behind the ratios are of all labelled documents; the
+Indicators of byte n-grams, and of n-grams of word shapes, are scaled by their log-count ratios between the classes, each
+document's vector to length one, and a linear hinge-loss model is fitted by dual coordinate descent. The counts behind the ratios are of all labelled documents; the
 fit takes a bounded sample of them.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 LENGTHS = (1, 2, 3, 4)
 BITS = 17
 _BLOCK = 1 << 20
+#: n-grams of word shapes, of these lengths. A shape tells case, the last character's kind, and whether the word repeats the last.
+SHAPES = (1, 2, 3)
+_KIND = np.array([0] * 33 + [1] * 15 + [2] * 10 + [1] * 7 + [3] * 26 + [1] * 6 + [4] * 26 + [1] * 5 + [5] * 128, np.uint32)
 
 
 class Features:
@@ -27,19 +31,31 @@ class Features:
     def __init__(self) -> None:
         self.flags = np.zeros(1 << BITS, bool)
 
+    def _mark(self, part: np.ndarray, lengths: tuple[int, ...], kind: int) -> None:
+        for n in lengths:
+            if len(part) < n:
+                continue
+            code = np.full(len(part) - n + 1, kind + n, np.uint32)
+            for k in range(n):
+                code = code * np.uint32(0x9E3779B1) + part[k : len(part) - n + 1 + k]
+            code ^= code >> np.uint32(15)
+            code *= np.uint32(0x85EBCA6B)
+            self.flags[code >> np.uint32(32 - BITS)] = True
+
     def __call__(self, raw: bytes | None) -> np.ndarray:
         raw = raw or b""
         for at in range(0, len(raw), _BLOCK):  # blocks overlap by the longest n-gram less one
             part = np.frombuffer(raw[at : at + _BLOCK + max(LENGTHS) - 1], np.uint8).astype(np.uint32)
-            for n in LENGTHS:
-                if len(part) < n:
-                    continue
-                code = np.full(len(part) - n + 1, n, np.uint32)
-                for k in range(n):
-                    code = code * np.uint32(0x9E3779B1) + part[k : len(part) - n + 1 + k]
-                code ^= code >> np.uint32(15)
-                code *= np.uint32(0x85EBCA6B)
-                self.flags[code >> np.uint32(32 - BITS)] = True
+            self._mark(part, LENGTHS, 0)
+        words = raw.split()
+        for at in range(0, len(words), _BLOCK):
+            some = words[at : at + _BLOCK + max(SHAPES) - 1]
+            ends = np.frombuffer(b"".join([w[:1] + w[1:2] + w[-1:] if len(w) > 1 else w * 3 for w in some]), np.uint8)
+            kinds = _KIND[ends].reshape(-1, 3)
+            same = np.fromiter(map(eq, some[1:], some), np.uint32, len(some) - 1)
+            shape = kinds[:, 0] * 36 + kinds[:, 1] * 6 + kinds[:, 2]
+            shape[1:] += same * 216
+            self._mark(shape, SHAPES, 16)
         slots = np.flatnonzero(self.flags)
         self.flags[slots] = False
         return slots
@@ -70,23 +86,24 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, "id")
 
 
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     """How many documents of each class have each slot: each task sends one row a slot at most, and the driver gets one a slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, found = Features(), np.zeros((2, 1 << BITS), np.int64)
+        features, found = Features(), np.zeros((2, (1 << BITS) + 1), np.int64)  # the last slot counts documents
         for batch in batches:
             for x, y in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
                 found[y, features(x.as_py())] += 1
+                found[y, -1] += 1
         some = np.flatnonzero(found.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[0, some]), pa.array(found[1, some])], names=["slot", "n0", "n1"])
 
-    out = np.zeros((2, 1 << BITS), np.int64)
+    out = np.zeros((2, (1 << BITS) + 1), np.int64)
     sums = rows.select("text", "y").mapInArrow(run, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     table = sums.toArrow()
     slots = table["slot"].to_numpy()
     out[0, slots], out[1, slots] = table["n0"].to_numpy(), table["n1"].to_numpy()
-    return out[0], out[1]
+    return out[0, :-1], out[1, :-1], (int(out[0, -1]), int(out[1, -1]))
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, epochs: int = 20, seed: int = 42) -> np.ndarray:
@@ -124,7 +141,7 @@ def fit(train: DataFrame, fit_rows: int = 2000, smooth: float = 1.0, cost: float
             slots = [features(x.as_py()).astype(np.int32) for x in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), batch.column(1)], names=["slots", "y"])
 
-    n0, n1 = _counts(train)
+    n0, n1, total = _counts(train)
     picked = [train.where(F.col("y") == k).select("text", "y", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "text").limit(fit_rows) for k in (0, 1)]
     rows = picked[0].union(picked[1]).select("text", "y").mapInArrow(run, "slots array<int>, y int").toArrow()
     y = rows["y"].to_numpy() * 2.0 - 1
@@ -138,8 +155,9 @@ def fit(train: DataFrame, fit_rows: int = 2000, smooth: float = 1.0, cost: float
         norm = np.sqrt((ratio[slots] ** 2).sum())
         # The last slot is the bias, as a feature that all rows have.
         vectors.append((np.append(slots, 1 << BITS), np.append(ratio[slots] / norm if norm else ratio[slots], 1.0)))
-    # Classes weigh alike, whatever their sizes.
-    costs = cost * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    # The classes weigh as they do among all labelled rows, however many of each the fit takes.
+    share = float(total[1]) / float(total[0] + total[1])
+    costs = cost * np.where(y > 0, share * len(y) / (y > 0).sum(), (1 - share) * len(y) / (y < 0).sum())
     w = dual_coordinate_descent(vectors, y, costs, (1 << BITS) + 1, seed=seed)
     return Model(ratio, w[:-1] * ratio, float(w[-1]))
 

@@ -109,7 +109,7 @@ RULES: tuple[Rule, ...] = (
     Rule("exclamations_per_word", lambda t: 10 * t.count(b"!") > 3 * t.n_words),
     Rule("capitals", lambda t: 2 * t.n_upper > t.n_letters),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
-    Rule("duplicate_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
+    Rule("duplicate_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
     Rule("long_run", lambda t: _LONG_RUN.search(t.raw) is not None),
 )
 

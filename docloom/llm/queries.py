@@ -129,7 +129,7 @@ e AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_marks > 3 * n_words OR 2 * n_upper > n_letters
-    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * len(lines)
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > len(lines)
     OR list_bool_or(list_transform(w, lambda x: strlen(x) >= 200))) AS kept
 FROM b
 """
