@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import cut, drop_cut
+
 #: Features: byte n-grams of these lengths, hashed to 2**BITS slots.
 LENGTHS = (1, 2, 3, 4)
 BITS = 17
@@ -80,10 +82,10 @@ class Model:
         return 1 / (1 + np.exp(-self.steep * np.clip(out, -200, 200)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y) of documents with one label, 0 or 1: null labels don't count, and ids with both labels are left out."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select("id", F.col("y").cast("int").alias("y"))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, "id")
+def marks(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
+    """(id, y) of ids with one label, 0 or 1: null labels don't count, and ids with both labels are left out."""
+    both = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
+    return both.where("y = z and id is not null").select("id", F.col("y").cast("int").alias("y"))
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
@@ -128,11 +130,11 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
-def fit(train: DataFrame, fit_rows: int = 2000, smooth: float = 1.0, cost: float = 1.0, seed: int = 42) -> Model:
-    """A model from (id, text, y). `fit_rows` bounds the rows that the fit takes of each class, those with the least seeded hash.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 2000, smooth: float = 1.0, cost: float = 1.0, seed: int = 42) -> Model:
+    """A model from documents and labels of them. `fit_rows` bounds the labels of each class that the fit takes, by least seeded hash.
 
-    The counts cover all rows. Without rows of both classes the model gives every text the same score: 1 or 0 by the class
-    there is, 0.5 without any.
+    The counts behind the ratios, and the classes' weights, are of all labelled documents. Without documents of both classes
+    the model gives every text the same score: 1 or 0 by the class there is, 0.5 without any. Null texts count as empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +143,22 @@ def fit(train: DataFrame, fit_rows: int = 2000, smooth: float = 1.0, cost: float
             slots = [features(x.as_py()).astype(np.int32) for x in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), batch.column(1)], names=["slots", "y"])
 
-    n0, n1, total = _counts(train)
-    picked = [train.where(F.col("y") == k).select("text", "y", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "text").limit(fit_rows) for k in (0, 1)]
-    rows = picked[0].union(picked[1]).select("text", "y").mapInArrow(run, "slots array<int>, y int").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = cut(marks(labels, label_col, id_col), "marks")
+    n0, n1, total = _counts(texts.join(known, "id"))
+    picked = [known.where(F.col("y") == k).withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(fit_rows) for k in (0, 1)]
+    # So few ids that the join may broadcast them. An id may have several rows, so their number is bounded once more.
+    sample = texts.join(F.broadcast(cut(picked[0].union(picked[1]), "picked")), "id").orderBy("h", F.xxhash64("text")).limit(4 * fit_rows)
+    rows = sample.select("text", "y").mapInArrow(run, "slots array<int>, y int").toArrow().combine_chunks()
+    drop_cut(known)
     y = rows["y"].to_numpy() * 2.0 - 1
     if not (y > 0).any() or not (y < 0).any():
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0 if not len(y) else 200.0 * y[0])
     ratio = np.log((n1 + smooth) / (n1 + smooth).sum()) - np.log((n0 + smooth) / (n0 + smooth).sum())
     ratio[(n0 + n1) == 0] = 0.0
     vectors = []
-    for x in rows["slots"].to_pylist():
-        slots = np.array(x, np.int64)
+    for x in rows["slots"].chunk(0) if rows["slots"].num_chunks else []:
+        slots = x.values.to_numpy()
         norm = np.sqrt((ratio[slots] ** 2).sum())
         # The last slot is the bias, as a feature that all rows have.
         vectors.append((np.append(slots, 1 << BITS), np.append(ratio[slots] / norm if norm else ratio[slots], 1.0)))

@@ -40,7 +40,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model:
     """A model from the labels that aren't held out."""
-    return quality_classifier.fit(quality_classifier.labelled(docs, labels.where(~held_out())))
+    return quality_classifier.fit(docs, labels.where(~held_out()))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
