@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD_PATTERN, cut
@@ -91,11 +91,18 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source_id", "size"]].assign(take=take)
 
 
+def _row_hash(id_col: str, source_col: str, text_col: str, seed: int) -> Column:
+    """A seeded hash of what tells rows apart; a null hashes unlike anything else."""
+    parts = [x for c in (id_col, source_col, text_col) for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """(id_col, row_hash, source_col, size, source_size, target, times): a row for each row of docs; the mix takes it `times` times.
 
     size counts the words of the text (null: 0). Documents are counted by exact length; each source takes its whole passes,
-    and then as many documents of each length as fit() says, of equal lengths those with the least seeded hash of id and text.
+    and then as many documents of each length as fit() says, of equal lengths those with the least seeded hash of id, source
+    and text.
     What one task gathers of a source are its counts by length. Documents of no words go with the whole passes, and once where
     their source has no words at all. Rows that repeat are rows of their own; null ids and sources are kept; an empty table
     gives an empty result; other columns of docs are ignored.
@@ -107,7 +114,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), text).alias("row_hash"),
+            _row_hash(id_col, source_col, text_col, seed).alias("row_hash"),
         ).withColumns({"source_id": source_id, "bucket": F.pmod(F.xxhash64("row_hash"), F.lit(BUCKETS)).cast("int")}),
         "sizes",
     )
@@ -136,7 +143,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     times = mix(docs, id_col, source_col, text_col, weights, share, most, seed).select(F.col(id_col).alias("__id"), F.col("row_hash").alias("__hash"), F.col("times").alias("__times"))
     # Rows that are equal but for other columns share what the mix takes of them.
     times = cut(times.groupBy("__id", "__hash").agg(F.sum("__times").alias("__times"), F.count("*").alias("__n")).where("__times > 0"), "times")
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col).cast("string")))
+    keyed = docs.withColumn("__key", _row_hash(id_col, source_col, text_col, seed))
     joined = keyed.join(times, (F.col("__key") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
     single = joined.where("__n = 1").withColumn("__own", F.col("__times"))
     place = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy(*[x for x, kind in docs.dtypes if not kind.startswith("map")]))

@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = cut(marks(labels, label_col, id_col), "marks")
-    n0, n1, total = _counts(texts.join(known, "id"))
+    # A merge join at every size: texts that a small table of labels lets stay where they are would move once it has grown.
+    n0, n1, total = _counts(texts.join(known.hint("merge"), "id"))
     picked = [known.where(F.col("y") == k).withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(fit_rows) for k in (0, 1)]
     # So few ids that the join may broadcast them. An id may have several rows, so their number is bounded once more.
     sample = texts.join(F.broadcast(cut(picked[0].union(picked[1]), "picked")), "id").orderBy("h", F.xxhash64("text")).limit(4 * fit_rows)

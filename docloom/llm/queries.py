@@ -39,8 +39,8 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model:
-    """A model from the labels that aren't held out."""
-    return quality_classifier.fit(docs, labels.where(~held_out()))
+    """A model from the labels that aren't held out. Documents that can have none don't take part, so their texts don't move."""
+    return quality_classifier.fit(docs.where(~held_out()), labels.where(~held_out()))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
