@@ -40,7 +40,7 @@ def targets(totals: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, hold: int = 4096) -> np.ndarray:
     """How many documents of each length (distinct, positive) to take, so that the words come as near `budget` as can be.
 
-    A proportional share of each length is taken first, then long documents while over `hold` words remain. A bounded-knapsack
+    A proportional share of each length is taken first, then long documents, both while over `hold` words remain. A bounded-knapsack
     dynamic programme fills what remains from the documents left over: a set of reachable sums, in the bits of one integer,
     for each power-of-two part of a length's count.
     """
@@ -51,7 +51,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, hold: int = 4096)
         return np.zeros_like(counts)
     order = np.argsort(-lengths, kind="stable")
     size, spare = lengths[order].tolist(), counts[order].tolist()
-    take = [c * budget // total for c in spare]
+    take = [c * max(0, budget - hold) // total for c in spare]
     left = budget - sum(s * t for s, t in zip(size, take, strict=True))
     for i, s in enumerate(size):
         if (more := min(spare[i] - take[i], max(0, left - hold) // s)) > 0:

@@ -1,8 +1,9 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
 Documents are dealt out by ranges of their id and sorted; each partition tokenises its own and writes one shard, an Arrow file
-whose rows are sequences of `sequence` ids with a mask of the same length (0: padding, 1: an id, 3: a document's last id), and
-beside it an Arrow file with each document's id, start within the shard and number of ids. All rows of a shard but its last
+whose rows are sequences of `sequence` ids with two masks of the same length, of bits (valid: no padding; last: a document's last
+id), and beside it an Arrow file with each document's id, start within the shard and number of ids. Ids take two bytes where
+the vocabulary allows it, else four. All rows of a shard but its last
 are full, so id k of a shard stands in row k // sequence: a reader maps the file into memory and copies nothing.
 """
 
@@ -29,7 +30,7 @@ from docloom.llm.common import fresh_path
 END_ID = 1
 _BATCH_ROWS = 256
 #: So many words, and as many letter runs, a worker keeps; beyond, it starts anew.
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 500_000
 #: A run of letters that lower-case one by one to themselves in composed form, then ASCII marks other than the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -93,6 +94,16 @@ class WordEncoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker process, which runs many tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -104,27 +115,28 @@ class Shard:
 class ShardWriter:
     """Writes one shard under a name of its own and moves it to its place when whole, so a task that runs again does no harm."""
 
-    def __init__(self, folder: str, part: int, sequence: int, id_type: pa.DataType):
+    def __init__(self, folder: str, part: int, sequence: int, id_type: pa.DataType, token_type: pa.DataType):
         self.fs, self.base = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.base, recursive=True)
         self.part, self.sequence, self.mark = part, sequence, uuid.uuid4().hex
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.dtype = token_type.to_pandas_dtype()
+        self.schema = pa.schema([("ids", pa.list_(token_type, sequence)), ("valid", pa.list_(pa.bool_(), sequence)), ("last", pa.list_(pa.bool_(), sequence))])
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = {kind: self.fs.open_output_stream(f"{self.base}/.{self.mark}.{kind}") for kind in ("ids", "index")}
         self.ids = pa.ipc.new_file(self.sinks["ids"], self.schema)
         self.index = pa.ipc.new_file(self.sinks["index"], self.index_schema)
         self.rows: list[np.ndarray] = []
-        self.masks: list[np.ndarray] = []
+        self.lasts: list[np.ndarray] = []
         self.waiting, self.tokens, self.docs = 0, 0, 0
         self.entries: list[list[Any]] = [[], [], []]
 
     def add(self, doc_id: Any, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1] = 3
+        last = np.zeros(len(ids), bool)
+        last[-1] = True
         for values, x in zip(self.entries, (doc_id, self.tokens, len(ids)), strict=True):
             values.append(x)
-        self.rows.append(ids)
-        self.masks.append(mask)
+        self.rows.append(ids.astype(self.dtype))
+        self.lasts.append(last)
         self.waiting += len(ids)
         self.tokens += len(ids)
         self.docs += 1
@@ -134,14 +146,14 @@ class ShardWriter:
             self._flush_index()
 
     def _flush(self, n: int) -> None:
-        ids, mask = np.concatenate([*self.rows, np.empty(0, np.uint32)]).astype(np.uint32), np.concatenate([*self.masks, np.empty(0, np.uint8)])
-        self.rows, self.masks, self.waiting = [ids[n:]], [mask[n:]], len(ids) - n
-        self._write(ids[:n], mask[:n])
+        ids, last = np.concatenate([*self.rows, np.empty(0, self.dtype)]), np.concatenate([*self.lasts, np.empty(0, bool)])
+        self.rows, self.lasts, self.waiting = [ids[n:]], [last[n:]], len(ids) - n
+        self._write(ids[:n], np.ones(n, bool), last[:n])
 
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        for at in range(0, len(ids), self.sequence * _BATCH_ROWS):
-            end = at + self.sequence * _BATCH_ROWS
-            self.ids.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids[at:end]), self.sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask[at:end]), self.sequence)], schema=self.schema))
+    def _write(self, *columns: np.ndarray) -> None:
+        for at in range(0, len(columns[0]), self.sequence * _BATCH_ROWS):
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(c[at : at + self.sequence * _BATCH_ROWS]), self.sequence) for c in columns]
+            self.ids.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def _flush_index(self) -> None:
         self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(self.entries, self.index_schema, strict=True)], schema=self.index_schema))
@@ -150,9 +162,9 @@ class ShardWriter:
     def close(self) -> Shard:
         self._flush(self.waiting // self.sequence * self.sequence)
         if self.waiting:
-            ids, mask = np.zeros(self.sequence, np.uint32), np.zeros(self.sequence, np.uint8)
-            ids[: self.waiting], mask[: self.waiting] = self.rows[0], self.masks[0]
-            self._write(ids, mask)
+            ids, valid, last = np.zeros(self.sequence, self.dtype), np.zeros(self.sequence, bool), np.zeros(self.sequence, bool)
+            ids[: self.waiting], valid[: self.waiting], last[: self.waiting] = self.rows[0], True, self.lasts[0]
+            self._write(ids, valid, last)
         self._flush_index()
         for kind, writer in (("ids", self.ids), ("index", self.index)):
             writer.close()
@@ -199,6 +211,13 @@ def read_shard(folder: str, shard: str) -> Iterator[tuple[pa.RecordBatch, Callab
         yield index.get_batch(k), get
 
 
+def _vocabulary(path: str) -> int:
+    """One more than the greatest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values(), default=0) + 1
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", sequence: int = 2048, end_id: int = END_ID, parts: int | None = None) -> tuple[str, list[Shard]]:
     """Writes docs in ascending id order and returns the folder and its shards, whose number is that of the partitions.
 
@@ -212,13 +231,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = pa.int64() if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else pa.string()
 
+    token_type = pa.uint16() if max(_vocabulary(tokenizer), end_id + 1) <= 1 << 16 else pa.uint32()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = encode = None
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-                writer = writer or ShardWriter(folder, TaskContext.get().partitionId(), sequence, id_type)
-                encode = encode or WordEncoder(tokenizer)
+                writer = writer or ShardWriter(folder, TaskContext.get().partitionId(), sequence, id_type, token_type)
+                encode = encode or _encoder(tokenizer)
                 writer.add(doc_id.as_py(), np.concatenate((encode(text.as_py()), end)))
         if writer:
             done = writer.close()
