@@ -2,8 +2,9 @@
 
 Of two lines at `tau` or fewer edits, one of tau + 1 segments of the shorter stands unchanged in the longer, at a place that the
 lengths narrow down. Each distinct line indexes its segments and probes those substrings; equal hashes of (length, segment
-number, substring) give candidates, which a banded bit-parallel edit distance verifies. Tasks send (key, line) numbers in blobs
-by ranges of the key's hash, not as rows. Where more lines than `crowd` meet at one key, they aren't paired: what is left of
+number, substring) give candidates, of which those stay whose character counts allow it (an edit changes no more than two of
+them), and a banded bit-parallel edit distance verifies. Tasks send (key, line, counts) as three numbers in blobs by the key's
+hash, not as rows. Where more lines than `crowd` meet at one key, they aren't paired: what is left of
 each line without the segment goes through the same join again under that key, until few meet.
 """
 
@@ -21,6 +22,7 @@ from docloom.llm.common import components, cut, drop_cut
 
 _MASK = (1 << 63) - 1
 _PAIRS_ROWS = 50_000
+_SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -113,22 +115,38 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "big") & _MASK
 
 
-def _blobs(keys: np.ndarray, lines: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, blob): keys and lines, two numbers each, of one bucket. The lowest bit of a key says index or probe."""
-    where = ((keys >> np.int64(1)) % buckets).astype(np.int64)
+def counts(line: str) -> int:
+    """How often characters of 16 classes occur, modulo 16, four bits each."""
+    found = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & 15, minlength=16) & 15
+    return int((found.astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64).view(np.int64))
+
+
+def _may_be_near(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
+    """Whether counts differ by 2 * tau or less, as those of lines at tau edits do."""
+    total = np.zeros(len(a), np.int64)
+    for shift in range(0, 64, 4):
+        d = ((a >> shift) - (b >> shift)) & 15
+        total += np.minimum(d, 16 - d)
+    return total <= 2 * tau
+
+
+def _blobs(keys: list[int], lines: list[int], sketches: list[int], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, blob): entries of one bucket, three numbers each. The lowest bit of a key says index or probe."""
+    entries = np.array([keys, lines, sketches], np.int64).reshape(3, -1).T
+    where = (entries[:, 0] >> 1) % buckets
     order = np.argsort(where, kind="stable")
-    where, both = where[order], np.stack((keys[order], lines[order]), 1)
+    where, entries = where[order], np.ascontiguousarray(entries[order])
     firsts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else np.empty(0, np.int64)
     ends = np.append(firsts[1:], len(where))
-    return pa.RecordBatch.from_arrays([pa.array(where[firsts], pa.int64()), pa.array([both[i:j].tobytes() for i, j in zip(firsts, ends, strict=True)], pa.binary())], names=["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(where[firsts], pa.int64()), pa.array([entries[i:j].tobytes() for i, j in zip(firsts, ends, strict=True)], pa.binary())], names=["bucket", "blob"])
 
 
 def _join_schema() -> pa.Schema:
     return pa.schema([("crowded", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _joined(entries: np.ndarray, crowd: int) -> Iterator[pa.RecordBatch]:
-    """From (key with role, line): pairs (crowded false, a, b), and (crowded true, key with role, line) where too many meet."""
+def _joined(entries: np.ndarray, tau: int, crowd: int) -> Iterator[pa.RecordBatch]:
+    """From (key with role, line, counts): pairs (crowded false, a, b), and (crowded true, key with role, line) where too many meet."""
     entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
     entries = entries[np.append(True, (entries[1:] != entries[:-1]).any(1))]
     base = entries[:, 0] >> 1
@@ -145,9 +163,9 @@ def _joined(entries: np.ndarray, crowd: int) -> Iterator[pa.RecordBatch]:
             a, b = entries[i:j, 0], entries[i:j, 1]
             flags.append(np.ones(len(a), bool))
         else:
-            index, probe = entries[i:k, 1], entries[k:j, 1]
-            a, b = np.repeat(index, len(probe)), np.tile(probe, len(index))
-            ok = a != b
+            index, probe = entries[i:k], entries[k:j]
+            a, b = np.repeat(index[:, 1], len(probe)), np.tile(probe[:, 1], len(index))
+            ok = (a != b) & _may_be_near(np.repeat(index[:, 2], len(probe)), np.tile(probe[:, 2], len(index)), tau)
             a, b = np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])
             flags.append(np.zeros(len(a), bool))
         out_a.append(a)
@@ -165,18 +183,18 @@ def _distinct(flags: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray])
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(bool)), pa.array(rows[:, 1]), pa.array(rows[:, 2])], schema=_join_schema())
 
 
-def _meet(blobs: DataFrame, parts: int, crowd: int) -> DataFrame:
+def _meet(blobs: DataFrame, parts: int, tau: int, crowd: int) -> DataFrame:
     """The equality join of all entries, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x.as_buffer() for batch in batches for x in batch.column(1)]
         if held:
-            yield from _joined(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in held]), crowd)
+            yield from _joined(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in held]), tau, crowd)
 
     return blobs.repartition(parts, "bucket").mapInArrow(run, "crowded boolean, a long, b long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 12, crowd: int = 64, parts: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 12, crowd: int = 512, parts: int | None = None) -> DataFrame:
     """(id_col, line_no, class_id, class_line_no, kept): a row for each line with a word of each row of docs.
 
     line_no counts all lines of the text from 0. Lines are of one class if links connect them: equal lines, and lines of
@@ -203,7 +221,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            keys, lines = [], []
+            keys, lines, sketches = [], [], []
             for x in batch.column(0):
                 for _, line in _lines(x.as_py()):
                     if len(line) < min_chars or (node := _node(line)) in seen:
@@ -213,9 +231,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
                     keys += [key << 1 & _MASK for key, _, _ in index_keys(line, tau)]
                     keys += [key << 1 & _MASK | 1 for key, _, _ in probe_keys(line, tau)]
                     lines += [_short(node)] * (len(keys) - before)
+                    sketches += [counts(line)] * (len(keys) - before)
             if len(seen) > 500_000:
                 seen.clear()
-            yield _blobs(np.array(keys, np.int64), np.array(lines, np.int64), buckets)
+            yield _blobs(keys, lines, sketches, buckets)
 
     def find_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,12 +259,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
 
     def sign_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lines = [], []
+            keys, lines, sketches = [], [], []
             for short, prefix, role, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 new = [key << 1 & _MASK | role for key, _, _ in (probe_keys if role else index_keys)(rest, tau, prefix)]
                 keys += new
                 lines += [short] * len(new)
-            yield _blobs(np.array(keys, np.int64), np.array(lines, np.int64), buckets)
+                sketches += [counts(rest)] * len(new)
+            yield _blobs(keys, lines, sketches, buckets)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +273,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
     listed = cut(rows.mapInArrow(list_lines, f"id {dict(docs.dtypes)[id_col]}, line_no long, node binary"), "lines")
-    met = cut(_meet(rows.select("text").mapInArrow(sign, "bucket long, blob binary"), parts, crowd), "met")
+    met = cut(_meet(rows.select("text").mapInArrow(sign, "bucket long, blob binary"), parts, tau, crowd), "met")
     texts = rows.select("text").mapInArrow(find_texts, "short long, line string")
     pairs, level, state = [met.where("not crowded").select("a", "b")], 0, None
     while not met.where("crowded").isEmpty():
@@ -263,14 +283,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
             state = texts.join(crowded.select("short"), "short", "left_semi").distinct().select("short", F.lit(0).cast("long").alias("prefix"), F.lit(-1).alias("role"), F.col("line").alias("rest"))
         state = cut(state.join(crowded, "short").select("short", "prefix", "role", "rest", "keys").mapInArrow(descend, "short long, prefix long, role int, rest string").distinct(), "state")
         # More may meet on each level, so this ends even where lines differ in a few places only.
-        met = cut(_meet(state.mapInArrow(sign_rest, "bucket long, blob binary"), parts, crowd << level), "met")
+        met = cut(_meet(state.mapInArrow(sign_rest, "bucket long, blob binary"), parts, tau, crowd << level), "met")
         pairs.append(met.where("not crowded").select("a", "b"))
     every = pairs[0]
     for more in pairs[1:]:
         every = every.union(more)
     every = cut(every.distinct(), "pairs")
+    # A merge join at every size, so that small tables show what large ones cost.
     wanted = every.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    lines = cut(texts.join(wanted, "short", "left_semi").distinct(), "texts")
+    lines = cut(texts.join(wanted.hint("merge"), "short", "left_semi").distinct(), "texts")
     one = every.join(lines.select(F.col("short").alias("a"), F.col("line").alias("line_a")), "a")
     two = one.join(lines.select(F.col("short").alias("b"), F.col("line").alias("line_b")), "b").select("line_a", "line_b")
     linked = components(two.mapInArrow(verify, "a binary, b binary"))
