@@ -141,3 +141,46 @@ def parse_colour(text: Column) -> Column:
     full = F.when(t.rlike("^#[0-9A-F]{6}$"), F.concat(F.lit("FF"), F.substring(t, 2, 6))).when(t.rlike("^#[0-9A-F]{8}$"), F.substring(t, 2, 8))
     at = lambda k: F.conv(F.substring(full, k, 2), 16, 10).cast("int")
     return F.when(full.isNotNull(), F.struct(at(1).alias("a"), at(3).alias("r"), at(5).alias("g"), at(7).alias("b")))
+
+
+# Blend modes over all channels. A colour is an array of three bytes.
+
+
+def _lum(c: Column) -> Column:
+    return F.floor((c[0] * 77 + c[1] * 150 + c[2] * 29) / 256).cast("int")
+
+
+def _clip(c: Column) -> Column:
+    """Pulled towards its luma until every channel is a byte."""
+    light, low, high = _lum(c), F.array_min(c), F.array_max(c)
+    up = F.transform(c, lambda v: F.when(low < 0, light + F.floor((v - light) * light / F.nullif(light - low, F.lit(0)))).otherwise(v))
+    down = F.transform(up, lambda v: F.when(high > 255, light + F.floor((v - light) * (255 - light) / F.nullif(high - light, F.lit(0)))).otherwise(v))
+    return F.transform(down, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.coalesce(v, light))).cast("int"))
+
+
+def _set_lum(c: Column, light: Column) -> Column:
+    d = light - _lum(c)
+    return _clip(F.transform(c, lambda v: v + d))
+
+
+def _set_sat(c: Column, s: Column) -> Column:
+    low, high = F.array_min(c), F.array_max(c)
+    return F.transform(c, lambda v: F.coalesce(F.floor((v - low) * s / F.nullif(high - low, F.lit(0))), F.lit(0)).cast("int"))
+
+
+def _sat(c: Column) -> Column:
+    return F.array_max(c) - F.array_min(c)
+
+
+def blend_nonseparable(mode: str, cb: Column, cs: Column) -> Column:
+    """Hue, Saturation, Color and Luminosity; any other mode gives the source."""
+    match mode:
+        case "Hue":
+            return _set_lum(_set_sat(cs, _sat(cb)), _lum(cb))
+        case "Saturation":
+            return _set_lum(_set_sat(cb, _sat(cs)), _lum(cb))
+        case "Color":
+            return _set_lum(cs, _lum(cb))
+        case "Luminosity":
+            return _set_lum(cb, _lum(cs))
+    return cs

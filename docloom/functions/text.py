@@ -184,6 +184,6 @@ def decode_text_string(value: Column) -> Column:
     """A text string's bytes: UTF-16 or UTF-8 with a byte order mark, else PDFDocEncoding."""
     high = "".join(chr(0x80 + i) for i in range(len(PDF_DOC_HIGH)))
     low = "".join(chr(0x18 + i) for i in range(len(PDF_DOC_LOW)))
-    doc = F.translate(F.decode(value, "ISO-8859-1"), low + high + " ", PDF_DOC_LOW + PDF_DOC_HIGH + "€")
+    doc = F.translate(F.decode(value, "ISO-8859-1"), low + high + "\x9f", PDF_DOC_LOW + PDF_DOC_HIGH + "\ufffd")
     start = F.hex(F.substring(value, 1, 3))
     return F.when(F.startswith(start, F.lit("FEFF")), F.decode(F.substr(value, F.lit(3)), "UTF-16BE")).when(start == "EFBBBF", F.decode(F.substr(value, F.lit(4)), "UTF-8")).otherwise(doc)
