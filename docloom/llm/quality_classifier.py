@@ -130,7 +130,7 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 2000, smooth: float = 1.0, cost: float = 1.0, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 1500, smooth: float = 1.0, cost: float = 1.0, seed: int = 42) -> Model:
     """A model from documents and labels of them. `fit_rows` bounds the labels of each class that the fit takes, by least seeded hash.
 
     The counts behind the ratios, and the classes' weights, are of all labelled documents. Without documents of both classes
@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         slots = x.values.to_numpy()
         norm = np.sqrt((ratio[slots] ** 2).sum())
         # The last slot is the bias, as a feature that all rows have.
-        vectors.append((np.append(slots, 1 << BITS), np.append(ratio[slots] / norm if norm else ratio[slots], 1.0)))
+        values = ratio[slots] / norm if norm else ratio[slots]
+        vectors.append((np.append(slots, np.int32(1 << BITS)), np.append(values, 1.0).astype(np.float32)))
     # The classes weigh as they do among all labelled rows, however many of each the fit takes.
     share = float(total[1]) / float(total[0] + total[1])
     costs = cost * np.where(y > 0, share * len(y) / (y > 0).sum(), (1 - share) * len(y) / (y < 0).sum())

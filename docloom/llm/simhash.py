@@ -77,7 +77,9 @@ def _variants(segment: int) -> Column:
 
 def _signatures(fps: DataFrame) -> DataFrame:
     """(key, bit, fp): the segments as they are (their key is below 1 << 40) and with one bit deleted, which is `bit`."""
-    rows = fps.select("fp", F.explode(F.concat(_variants(0), _variants(1))).alias("s"))
+    # A row becomes 66, so the rows are dealt out before, whatever few files they come from.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = spread.select("fp", F.explode(F.concat(_variants(0), _variants(1))).alias("s"))
     return rows.select(F.col("s.v").bitwiseOR(F.call_function("shiftleft", (F.col("s.w") + 1).cast("long"), F.lit(40))).alias("key"), F.col("s.bit").alias("bit"), "fp")
 
 

@@ -14,6 +14,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -30,7 +31,7 @@ from docloom.llm.common import fresh_path
 END_ID = 1
 _BATCH_ROWS = 256
 #: So many words, and as many letter runs, a worker keeps; beyond, it starts anew.
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 #: A run of letters that lower-case one by one to themselves in composed form, then ASCII marks other than the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -65,7 +66,8 @@ class WordEncoder:
 
     def _letters(self, run: str) -> bytes:
         if (found := self.letters.get(run)) is None:
-            found = self.letters[run] = np.array([t.id for t in self.model.tokenize(run.translate(self.to_bytes))], "<u4").tobytes()
+            plain = run if run.isascii() else run.translate(self.to_bytes)
+            found = self.letters[run] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         return found
 
     def _learn(self, new: set[bytes]) -> None:
