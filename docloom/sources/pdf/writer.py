@@ -8,6 +8,7 @@ import zlib
 from dataclasses import dataclass, field
 from typing import Any
 
+from docloom.sources.images import ImageError, jpeg_shape, png_decode, png_scan
 from docloom.sources.pdf.crypto import build_r6, cbc_encrypt_prefixed
 from docloom.sources.pdf.document import Document
 from docloom.sources.pdf.objects import Name, Ref, Stream, references, renumber, write
@@ -17,6 +18,10 @@ def deflated(raw: bytes, **d: Any) -> Stream:
     return Stream({Name(k): v for k, v in d.items()} | {"Filter": Name("FlateDecode")}, zlib.compress(raw))
 
 
+def _image(width: int, height: int, depth: int, space: Any) -> dict[str, Any]:
+    return {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": depth, "ColorSpace": space}
+
+
 def _sealed(value: Any, key: bytes, top: bool = True) -> Any:
     """Strings and streams encrypted with AES-256."""
     if isinstance(value, bytes):
@@ -145,15 +150,78 @@ class Builder:
     fonts: dict[str, str] = field(default_factory=lambda: {"F1": "Helvetica"})
     attachments: list[tuple[str, bytes]] = field(default_factory=list)
     labels: list[tuple[int, str, str, int]] = field(default_factory=list)
+    resources: dict[str, dict[str, Any]] = field(default_factory=dict)  # kind, name: an object that all pages may use
 
     def page(self, width: float = 612, height: float = 792, rotate: int = 0) -> None:
         self.pages.append({"box": [0, 0, width, height], "ops": bytearray(), "links": [], "rotate": rotate})
 
-    def raw(self, operators: bytes) -> None:
-        self.pages[-1]["ops"] += operators + b"\n"
+    def raw(self, operators: bytes, page: int = -1) -> None:
+        self.pages[page]["ops"] += operators + b"\n"
+
+    def text(self, x: float, y: float, text: str, size: float = 12, font: str = "F1", page: int = -1) -> None:
+        self.raw(b"BT " + write(Name(font)) + b" %s Tf %s %s Td " % (write(size), write(x), write(y)) + write(text.encode("cp1252", "replace")) + b" Tj ET", page)
+
+    # Resources. Each returns false for a name that is taken.
+
+    def _add(self, kind: str, name: str, value: Any) -> bool:
+        table = self.resources.setdefault(kind, {})
+        return table.setdefault(name, value) is value
+
+    def add_image(self, name: str, body: bytes) -> bool:
+        """A JPEG as it is, or a PNG: opaque ones of up to 8 bits without interlacing as they are, others decoded."""
+        if shape := jpeg_shape(body):
+            width, height, components = shape
+            space = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}.get(components)
+            return space is not None and self._add("XObject", name, Stream(_image(width, height, 8, Name(space)) | {"Filter": Name("DCTDecode")}, body))
+        try:
+            h = png_scan(body)
+            if not h.interlaced and h.colour in (0, 2, 3) and not h.transparency and h.depth <= 8:
+                space: Any = Name("DeviceRGB" if h.colour == 2 else "DeviceGray")
+                if h.colour == 3:
+                    space = [Name("Indexed"), Name("DeviceRGB"), len(h.palette) // 3 - 1, h.palette]
+                parms = {"Predictor": 15, "Colors": 3 if h.colour == 2 else 1, "BitsPerComponent": h.depth, "Columns": h.width}
+                return self._add("XObject", name, Stream(_image(h.width, h.height, h.depth, space) | {"Filter": Name("FlateDecode"), "DecodeParms": parms}, h.data))
+            pixels = png_decode(body)
+        except ImageError:
+            return False
+        height, width, channels = pixels.shape
+        colour = pixels[:, :, : 1 if channels < 3 else 3]
+        stream = deflated(colour.tobytes())
+        stream.dict |= _image(width, height, 8, Name("DeviceGray" if channels < 3 else "DeviceRGB"))
+        if channels in (2, 4):
+            mask = deflated(pixels[:, :, -1].tobytes())
+            mask.dict |= _image(width, height, 8, Name("DeviceGray"))
+            stream.dict["SMask"] = mask
+        return self._add("XObject", name, stream)
+
+    def add_gstate(self, name: str, fill: float | None = None, stroke: float | None = None, blend: str | None = None) -> bool:
+        d = {k: v for k, v in (("ca", fill), ("CA", stroke), ("BM", Name(blend) if blend else None)) if v is not None}
+        return self._add("ExtGState", name, {"Type": Name("ExtGState")} | d)
+
+    def add_form(self, name: str, box: tuple[float, float, float, float], operators: bytes, group: bool = False) -> bool:
+        """Operators that a page draws with Do; a group is composed on its own first."""
+        stream = deflated(operators, Type=Name("XObject"), Subtype=Name("Form"))
+        stream.dict |= {"BBox": list(box), "Resources": {"Font": None}} | ({"Group": {"S": Name("Transparency")}} if group else {})
+        return self._add("XObject", name, stream)
+
+    def add_shading(self, name: str, coords: list[float], stops: list[tuple[float, tuple[float, float, float]]]) -> bool:
+        """An axial (4 numbers) or radial (6) gradient over stops from 0 to 1."""
+        if len(coords) not in (4, 6) or len(stops) < 2 or [s for s, _ in stops] != sorted(s for s, _ in stops):
+            return False
+        parts = [{"FunctionType": 2, "Domain": [0, 1], "C0": list(a), "C1": list(b), "N": 1} for (_, a), (_, b) in zip(stops, stops[1:], strict=False)]
+        f = parts[0] if len(parts) == 1 else {"FunctionType": 3, "Domain": [0, 1], "Functions": parts, "Bounds": [s for s, _ in stops[1:-1]], "Encode": [0, 1] * len(parts)}
+        return self._add("Shading", name, {"ShadingType": 2 if len(coords) == 4 else 3, "ColorSpace": Name("DeviceRGB"), "Coords": list(coords), "Function": f, "Extend": [True, True]})
+
+    def add_pattern(self, name: str, width: float, height: float, operators: bytes) -> bool:
+        """A tile of its own colours."""
+        if width <= 0 or height <= 0:
+            return False
+        stream = deflated(operators, Type=Name("Pattern"))
+        stream.dict |= {"PatternType": 1, "PaintType": 1, "TilingType": 1, "BBox": [0, 0, width, height], "XStep": width, "YStep": height, "Resources": {}}
+        return self._add("Pattern", name, stream)
 
-    def text(self, x: float, y: float, text: str, size: float = 12, font: str = "F1") -> None:
-        self.raw(b"BT " + write(Name(font)) + b" %s Tf %s %s Td " % (write(size), write(x), write(y)) + write(text.encode("cp1252", "replace")) + b" Tj ET")
+    def image(self, name: str, x: float, y: float, width: float, height: float) -> None:
+        self.raw(b"q %s 0 0 %s %s %s cm " % tuple(write(v) for v in (width, height, x, y)) + write(Name(name)) + b" Do Q")
 
     def link(self, box: tuple[float, float, float, float], target: str | int) -> bool:
         """To a page by number or a URI of printable ASCII; false where neither can be written."""
@@ -183,10 +251,18 @@ class Builder:
         catalog: dict[str, Any] = {"Type": Name("Catalog")}
         root, tree = add(catalog), add(None)
         fonts = {k: add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name(v), "Encoding": Name("WinAnsiEncoding")}) for k, v in self.fonts.items()}
+        shared: dict[str, dict[str, Ref]] = {}
+        for kind, table in self.resources.items():
+            for name, value in table.items():
+                if isinstance(value, Stream) and isinstance(value.dict.get("SMask"), Stream):
+                    value = Stream(value.dict | {"SMask": add(value.dict["SMask"])}, value.raw)
+                elif isinstance(value, Stream) and "Font" in value.dict.get("Resources", {}):
+                    value = Stream(value.dict | {"Resources": {"Font": fonts}}, value.raw)
+                shared.setdefault(kind, {})[name] = add(value)
         refs = [add(None) for _ in self.pages]
         for ref, p in zip(refs, self.pages, strict=True):
             annots = [add({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": box} | ({"Dest": [refs[t], Name("Fit")]} if isinstance(t, int) else {"A": {"S": Name("URI"), "URI": t.encode()}})) for box, t in p["links"]]
-            objects[ref.num] = {"Type": Name("Page"), "Parent": tree, "MediaBox": p["box"], "Resources": {"Font": fonts}, "Contents": add(deflated(bytes(p["ops"])))} | ({"Annots": annots} if annots else {}) | ({"Rotate": p["rotate"]} if p["rotate"] else {})
+            objects[ref.num] = {"Type": Name("Page"), "Parent": tree, "MediaBox": p["box"], "Resources": {"Font": fonts} | shared, "Contents": add(deflated(bytes(p["ops"])))} | ({"Annots": annots} if annots else {}) | ({"Rotate": p["rotate"]} if p["rotate"] else {})
         objects[tree.num] = {"Type": Name("Pages"), "Kids": refs, "Count": len(refs)}
         catalog["Pages"] = tree
         if self.entries:
