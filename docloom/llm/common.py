@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import shared_dir
+
 #: The characters that end a word, as a class of regular expressions and as bytes (what bytes.split() splits at).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 
-#: A link between two fingerprints, lines and so on: both ends are long or string columns.
+#: Far more than the logarithm of any number of nodes.
 _STAR_ROUNDS = 60
 
 
@@ -21,23 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors reach: spark.checkpoint.dir, or in local mode a folder of its own.
-
-    Spark has a default for the setting, so what counts is whether somebody set it.
-    """
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if found := spark.sparkContext.getCheckpointDir():
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir isn't set: the operators need a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/docloom-{what}-{uuid.uuid4().hex}"
