@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import checkpointed
+
 
 def reachable(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None, src: str = "src", dst: str = "dst", rounds: int = 1000) -> DataFrame:
     """(node): all nodes that `start` (a column node) reaches, itself included, without entering nodes of `avoid`.
@@ -18,21 +20,22 @@ def reachable(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None
     if avoid is not None:
         kept = kept.join(avoid.select(F.col("node").alias("__next")), "__next", "left_anti")
         start = start.join(avoid.select("node"), "node", "left_anti")
-    seen = frontier = start.select("node").distinct().checkpoint()
+    seen = frontier = checkpointed(start.select("node").distinct())
     for _ in range(rounds):
-        frontier = frontier.join(kept, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
+        frontier = checkpointed(frontier.join(kept, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.union(frontier).checkpoint()
+        seen = checkpointed(seen.union(frontier))
     return seen
 
 
 def follow(links: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
     """(node, end, hops): where chains of links (node, target) end after `most` hops at most; a chain in a circle ends there."""
-    now = start.select("node", F.col("node").alias("end"), F.lit(0).alias("hops")).checkpoint()
+    now = checkpointed(start.select("node", F.col("node").alias("end"), F.lit(0).alias("hops")))
     steps = links.select(F.col("node").alias("end"), F.col("target"))
     for _ in range(most):
-        after = now.join(steps, "end", "left").select("node", F.coalesce("target", "end").alias("end"), (F.col("hops") + F.col("target").isNotNull().cast("int")).alias("hops"), F.col("target").isNotNull().alias("__moved")).checkpoint()
+        moved = F.col("target").isNotNull()
+        after = checkpointed(now.join(steps, "end", "left").select("node", F.coalesce("target", "end").alias("end"), (F.col("hops") + moved.cast("int")).alias("hops"), moved.alias("__moved")))
         now = after.select("node", "end", "hops")
         if after.where("__moved").isEmpty():
             break
@@ -45,11 +48,11 @@ def inherit(tree: DataFrame, attributes: Sequence[str], levels: int = 64) -> Dat
     Nodes that no root reaches (circles) aren't returned. path orders the tree depth first. A round takes one join per level.
     """
     rows = tree.select("node", "parent", "seq", *attributes)
-    level = rows.where("parent is null").select("node", F.lit(0).alias("depth"), F.array("seq").alias("path"), *attributes).checkpoint()
+    level = checkpointed(rows.where("parent is null").select("node", F.lit(0).alias("depth"), F.array("seq").alias("path"), *attributes))
     out = level
     for _ in range(levels):
         above = level.select(F.col("node").alias("parent"), "depth", "path", *[F.col(a).alias(f"__{a}") for a in attributes])
-        level = rows.join(above, "parent").select("node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("seq")).alias("path"), *[F.coalesce(a, f"__{a}").alias(a) for a in attributes]).checkpoint()
+        level = checkpointed(rows.join(above, "parent").select("node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("seq")).alias("path"), *[F.coalesce(a, f"__{a}").alias(a) for a in attributes]))
         if level.isEmpty():
             break
         out = out.union(level)

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.checkpoints import checkpointed
+
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
     """left with `value` of the right row that has the greatest `on` not above left's, within `by`; null before the first.
 
     One union, one shuffle by `by` and a running last(): no pair of rows is ever made, so large sides and long ranges cost a
-    sort. Of right rows that tie, the one with the greatest value counts.
+    sort. Without `by`, rows are dealt out by ranges of `on`. Of right rows that tie, the one with the greatest value counts.
     """
     cols = left.columns
     extra = [c for c in cols if c not in (*by, on)]
@@ -21,10 +23,28 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: s
     order = Window.partitionBy(*by).orderBy(on, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
     # A null value of a range must hide the range before, so the value travels in a struct.
     boxed = F.when(F.col("__side") == 0, F.struct(F.col("__value").alias("v")))
-    rows = a.unionByName(b).withColumn("__found", F.last(boxed, True).over(order)).where("__side = 1")
+    if by:
+        rows = a.unionByName(b).withColumn("__found", F.last(boxed, True).over(order)).where("__side = 1")
+    else:
+        rows = _swept(a.unionByName(b), on, boxed).where("__side = 1")
     return rows.select(*[F.col(c) if c in (*by, on) else F.col("__row")[c].alias(c) for c in cols], F.col("__found")["v"].alias(value))
 
 
+def _swept(rows: DataFrame, on: str, boxed: Column) -> DataFrame:
+    """rows with __found, the last boxed value at or before each, with no key to deal them out by.
+
+    Ranges of `on` are partitions, each sorted by itself; what a partition brings along from those before it is one value, found
+    from as many rows as there are partitions.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(rows.withColumn("__box", boxed).repartitionByRange(parts, on, "__side").withColumn("__part", F.spark_partition_id()))
+    within = Window.partitionBy("__part").orderBy(on, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    ends = dealt.groupBy("__part").agg(F.max_by("__box", F.when(F.col("__box").isNotNull(), F.struct(on, "__value"))).alias("__end"))
+    brought = ends.select("__part", F.last("__end", True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    out = dealt.withColumn("__own", F.last("__box", True).over(within)).join(brought, "__part", "left")
+    return out.withColumn("__found", F.coalesce("__own", "__before"))
+
+
 def overlay(base: DataFrame, changes: DataFrame, key: str, deleted: str = "deleted") -> DataFrame:
     """base with rows replaced or added by changes, and those that changes marks as deleted left out."""
     cols = base.columns
@@ -53,8 +73,8 @@ def range_lookup(rows: DataFrame, code: str, ranges: DataFrame, lo: str = "lo",
 
     The range that starts last before the code is the only one that can hold it, so this is asof() and a test of its end.
     """
-    starts = ranges.select(F.lit(0).alias("__all"), F.col(lo).alias(code), F.struct(F.col(hi).alias("hi"), F.col(value).alias("v")).alias("__range"))
-    found = asof(rows.withColumn("__all", F.lit(0)), starts, ["__all"], code, "__range")
+    starts = ranges.select(F.col(lo).alias(code), F.struct(F.col(hi).alias("hi"), F.col(value).alias("v")).alias("__range"))
+    found = asof(rows, starts, [], code, "__range")
     return found.withColumn(value, F.when(F.col("__range.hi") >= F.col(code), F.col("__range.v"))).select(*rows.columns, value)
 
 

@@ -13,21 +13,24 @@ from docloom.plans.registry import query, table
 _ROMAN = "CASE WHEN n <= 0 THEN '' ELSE repeat('m', n // 1000) || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][n % 1000 // 100 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][n % 100 // 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][n % 10 + 1] END"
 
 
+_RANGES = ((0, "r", "", 1), (2, "D", "", 1), (4, "A", "App-", 25), (6, "", "Plate", 1), (7, "R", "x", 7), (9, "a", "", 3))
+
+
 @query(f"""
-WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS page FROM orders),
-r(lo, style, prefix, start) AS (VALUES (0, 'r', '', 1), (10, 'D', '', 1), (200, 'A', 'App-', 1), (400, '', 'Plate', 1), (500, 'R', 'x', 7), (900, 'a', '', 3)),
+WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page FROM orders),
+r(lo, style, prefix, start) AS (VALUES {", ".join(str(r) for r in _RANGES)}),
 j AS (SELECT o_orderkey, page, max(lo) AS lo FROM o JOIN r ON lo <= page GROUP BY ALL),
 k AS (SELECT o_orderkey, page, style, prefix, start + page - lo AS n FROM j JOIN r USING (lo)),
 l AS (SELECT *, {_ROMAN} AS roman, repeat(chr(97 + CAST((n - 1) % 26 AS INTEGER)), least((n - 1) // 26 + 1, 64)) AS letters FROM k)
 SELECT o_orderkey, prefix || CASE style WHEN 'D' THEN CAST(n AS VARCHAR) WHEN 'r' THEN roman WHEN 'R' THEN upper(roman) WHEN 'a' THEN letters WHEN 'A' THEN upper(letters) ELSE '' END AS label FROM l
 """)
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of pages, one an order: the range that starts last before a page numbers it."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    pages = orders.select("o_orderkey", (F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("page"), F.lit(1).alias("doc"))
-    ranges = spark.createDataFrame([(1, 0, "r", "", 1), (1, 10, "D", "", 1), (1, 200, "A", "App-", 1), (1, 400, "", "Plate", 1), (1, 500, "R", "x", 7), (1, 900, "a", "", 3)], "doc int, page long, style string, prefix string, start long")
-    boxed = ranges.select("doc", "page", F.struct(F.col("page").alias("lo"), "style", "prefix", "start").alias("range"))
-    found = lookup.asof(pages, boxed, ["doc"], "page", "range").select("o_orderkey", "page", "range.*")
+    """Labels of pages, where a customer's orders are a document's pages: the range that starts last before a page numbers it."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), "o_orderkey")
+    pages = orders.withColumn("page", (F.row_number().over(Window.partitionBy("doc").orderBy("o_orderkey")) - 1).cast("long"))
+    each = F.explode(F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(style).alias("style"), F.lit(prefix).alias("prefix"), F.lit(start).cast("long").alias("start")) for lo, style, prefix, start in _RANGES]))
+    ranges = orders.select("doc").distinct().select("doc", each.alias("range")).select("doc", F.col("range.lo").alias("page"), "range")
+    found = lookup.asof(pages, ranges, ["doc"], "page", "range").select("o_orderkey", "page", "range.*")
     n = F.col("start") + F.col("page") - F.col("lo")
     return found.select("o_orderkey", F.concat("prefix", tx.label_number(F.col("style"), n)).alias("label"))
 
