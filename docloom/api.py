@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators import lookup
 from docloom.sources import archive, open as opened
 from docloom.sources.pdf import tables as pdf
 
@@ -38,8 +40,15 @@ class Documents:
             self.table(name).createOrReplaceTempView(prefix + name)
         return [prefix + n for n in names]
 
+    def page_labels(self) -> DataFrame:
+        """(doc_id, page_index, label) of PDF files: the range that starts last before a page numbers it; without any, from 1."""
+        pages = self.table("pages").select("doc_id", "page_index", F.col("page_index").cast("long").alias("page"))
+        ranges = self.table("label_ranges").select("doc_id", "page", F.struct(F.col("page").alias("lo"), "style", "prefix", "start").alias("range"))
+        found = lookup.asof(pages, ranges, ["doc_id"], "page", "range")
+        number = F.col("range.start") + F.col("page") - F.col("range.lo")
+        label = F.concat("range.prefix", tx.label_number(F.col("range.style"), number))
+        return found.select("doc_id", "page_index", F.coalesce(label, (F.col("page") + 1).cast("string")).alias("label"))
+
     def search(self, needle: str) -> DataFrame:
         """(doc_id, part, line, hits) of the lines with hits."""
-        from pyspark.sql import functions as F
-
         return self.table("text").select("doc_id", "part", "line", tx.hit_count(F.col("text"), needle).alias("hits")).where("hits > 0")

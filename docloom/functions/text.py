@@ -187,3 +187,16 @@ def decode_text_string(value: Column) -> Column:
     doc = F.translate(F.decode(value, "ISO-8859-1"), low + high + "\x9f", PDF_DOC_LOW + PDF_DOC_HIGH + "\ufffd")
     start = F.hex(F.substring(value, 1, 3))
     return F.when(F.startswith(start, F.lit("FEFF")), F.decode(F.substr(value, F.lit(3)), "UTF-16BE")).when(start == "EFBBBF", F.decode(F.substr(value, F.lit(4)), "UTF-8")).otherwise(doc)
+
+
+def natural_key(name: Column) -> Column:
+    """ARRAY of runs to sort by: digits by their value's length and digits, other runs without ASCII case; then sort by the name."""
+    folded = F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    runs = F.regexp_extract_all(folded, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def run(r: Column) -> Column:
+        digits, number = F.regexp_replace(r, "^0+", ""), r.rlike("^[0-9]")
+        # A run of digits meets one of text as text, by its first character.
+        return F.struct(F.when(number, "0").otherwise(F.left(r, F.lit(1))).alias("first"), F.when(number, 0).otherwise(1).alias("kind"), F.when(number, F.length(digits)).otherwise(0).alias("size"), F.when(number, digits).otherwise(r).alias("run"))
+
+    return F.transform(runs, run)

@@ -30,6 +30,8 @@ def test_documents(spark, tmp_path):
     assert hits == {"a.pdf": 4, "e.html": 2}
     opened = Documents(docs.files, "u")
     assert {end(r) for r in opened.table("text_lines").collect()} == {"a.pdf", "b.PDF"}
+    labels = {(end(r), r.page_index): r.label for r in docs.page_labels().collect()}
+    assert [labels["a.pdf", i] for i in range(4)] == ["i", "ii", "p-5", "p-6"]
     views = docs.register("t_")
     assert spark.sql("SELECT count(*) FROM t_outline").first()[0] == 3 and "t_entries" in views
     assert pdf.files(spark, f"file://{tmp_path}").count() == 2
