@@ -248,7 +248,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             yield pa.RecordBatch.from_pylist([{"path": done.path, "part": done.part, "docs": done.docs, "tokens": done.tokens}], schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long" if id_type == pa.int64() else "string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # By the start of the text too, so that many rows of one id aren't one task.
+    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.left("text", F.lit(32)).asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     shards = [Shard(**r.asDict()) for r in ordered.mapInArrow(run, "path string, part int, docs long, tokens long").collect()]
     shards.sort(key=lambda s: s.part)
     fs, base = pafs.FileSystem.from_uri(folder)
