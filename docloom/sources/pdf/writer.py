@@ -22,6 +22,15 @@ def _image(width: int, height: int, depth: int, space: Any) -> dict[str, Any]:
     return {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": depth, "ColorSpace": space}
 
 
+def _streams_out(value: Any, add: Any) -> Any:
+    """The same object with its inner streams as objects of their own."""
+    if isinstance(value, dict):
+        return {k: _streams_out(v, add) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_streams_out(v, add) for v in value]
+    return add(value) if isinstance(value, Stream) else value
+
+
 def _sealed(value: Any, key: bytes, top: bool = True) -> Any:
     """Strings and streams encrypted with AES-256."""
     if isinstance(value, bytes):
@@ -150,6 +159,7 @@ class Builder:
     fonts: dict[str, str] = field(default_factory=lambda: {"F1": "Helvetica"})
     attachments: list[tuple[str, bytes]] = field(default_factory=list)
     labels: list[tuple[int, str, str, int]] = field(default_factory=list)
+    programs: dict[str, dict[str, Any]] = field(default_factory=dict)  # font dictionaries with programs in them
     resources: dict[str, dict[str, Any]] = field(default_factory=dict)  # kind, name: an object that all pages may use
 
     def page(self, width: float = 612, height: float = 792, rotate: int = 0) -> None:
@@ -251,6 +261,7 @@ class Builder:
         catalog: dict[str, Any] = {"Type": Name("Catalog")}
         root, tree = add(catalog), add(None)
         fonts = {k: add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name(v), "Encoding": Name("WinAnsiEncoding")}) for k, v in self.fonts.items()}
+        fonts |= {k: add(_streams_out(v, add)) for k, v in self.programs.items()}
         shared: dict[str, dict[str, Ref]] = {}
         for kind, table in self.resources.items():
             for name, value in table.items():
