@@ -126,9 +126,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     takes = by_length.groupBy("source_id").applyInPandas(_fit_source, "source_id long, size long, take long")
     # A length's documents are taken bucket by bucket: all of the first ones, a part of one, none of the rest.
     before = F.sum("n").over(Window.partitionBy("source_id", "size").orderBy("bucket")) - F.col("n")
-    quotas = counts.drop("source").join(takes, ["source_id", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - before)))
+    quotas = counts.drop("source").join(takes.hint("merge"), ["source_id", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - before)))
     quotas = cut(quotas.where("quota > 0").select("source_id", "size", "bucket", "n", "quota"), "quotas")
-    keyed = rows.join(quotas, ["source_id", "size", "bucket"], "left")
+    # By merge joins: these tables grow with the documents, and are far smaller as files than in memory.
+    keyed = rows.join(quotas.hint("merge"), ["source_id", "size", "bucket"], "left")
     in_part = F.coalesce(F.col("quota") < F.col("n"), F.lit(False))
     place = F.row_number().over(Window.partitionBy("source_id", "size", "bucket").orderBy("row_hash", "id"))
     some = keyed.where(in_part).withColumn("one", (place <= F.col("quota")).cast("long"))
@@ -144,7 +145,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     # Rows that are equal but for other columns share what the mix takes of them.
     times = cut(times.groupBy("__id", "__hash").agg(F.sum("__times").alias("__times"), F.count("*").alias("__n")).where("__times > 0"), "times")
     keyed = docs.withColumn("__key", _row_hash(id_col, source_col, text_col, seed))
-    joined = keyed.join(times, (F.col("__key") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    joined = keyed.join(times.hint("merge"), (F.col("__key") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
     single = joined.where("__n = 1").withColumn("__own", F.col("__times"))
     place = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy(*[x for x, kind in docs.dtypes if not kind.startswith("map")]))
     many = joined.where("__n > 1").withColumn("__own", F.floor(F.col("__times") / F.col("__n")) + (place <= F.col("__times") % F.col("__n")).cast("long"))
