@@ -207,11 +207,14 @@ class Interpreter:
         elif x.dict.get("Subtype") == "Image":
             self.on_image(str(name), self.state.ctm)
         elif x.dict.get("Subtype") == "Form" and depth < MAX_FORMS:
-            saved, stack, text = self.state, self.stack, (self.tm, self.tlm)
-            m = self.doc.get(x.dict.get("Matrix"))
-            self.state, self.stack = replace(saved, ctm=then(_matrix(m) if isinstance(m, list) and len(m) >= 6 else IDENTITY, saved.ctm)), []
-            self.run(self.doc.decoded(x)[0], x.dict.get("Resources", resources), depth + 1)
-            self.state, self.stack, (self.tm, self.tlm) = saved, stack, text
+            self._do_form(x, resources, depth)
+
+    def _do_form(self, x: Stream, resources: dict[str, Any], depth: int) -> None:
+        saved, stack, text = self.state, self.stack, (self.tm, self.tlm)
+        m = self.doc.get(x.dict.get("Matrix"))
+        self.state, self.stack = replace(saved, ctm=then(_matrix(m) if isinstance(m, list) and len(m) >= 6 else IDENTITY, saved.ctm)), []
+        self.run(self.doc.decoded(x)[0], x.dict.get("Resources", resources), depth + 1)
+        self.state, self.stack, (self.tm, self.tlm) = saved, stack, text
 
     def _move(self, x: float, y: float) -> None:
         self.tm = self.tlm = then((1.0, 0.0, 0.0, 1.0, x, y), self.tlm)

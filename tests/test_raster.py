@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 
 from docloom.sources import images, raster
 from docloom.sources.pdf.document import Document
-from docloom.sources.pdf.writer import Builder
+from docloom.sources.pdf.objects import Name, Ref, Stream
+from docloom.sources.pdf.writer import Builder, deflated, update
 
 
 def test_fill():
@@ -100,6 +101,28 @@ def test_pages():
     assert (pixels < 255).any() and warnings == {"font without a program": 2}
 
 
+def test_groups_and_soft_masks():
+    b = Builder()
+    b.page(20, 10)
+    overlap = b"1 0 0 rg 0 0 10 10 re f 0 0 1 rg 5 0 10 10 re f"
+    assert b.add_form("Plain", (0, 0, 20, 10), overlap) and b.add_form("Group", (0, 0, 20, 10), overlap, True) and b.add_gstate("Half", 0.5)
+    b.raw(b"/Half gs /Group Do")
+    doc = Document(b.finish())
+    pixels, _ = raster.render(doc, doc.pages()[0][1])
+    assert pixels[5, 7].tolist() == [128, 128, 255] and pixels[5, 2].tolist() == [255, 128, 128]  # the group is composed as one
+    b.pages[0]["ops"] = bytearray(b"/Half gs /Plain Do")
+    doc = Document(b.finish())
+    assert raster.render(doc, doc.pages()[0][1])[0][5, 7].tolist() == [128, 64, 191]
+    ref, page = doc.pages()[0]
+    n = max(doc.xref)
+    form = deflated(b"1 g 0 0 10 10 re f", Type=Name("XObject"), Subtype=Name("Form"))
+    form.dict |= {"BBox": [0, 0, 20, 10], "Group": {"S": Name("Transparency")}}
+    for kind in ("Luminosity", "Alpha"):
+        masked = Document(update(doc, {n + 1: form, n + 2: Stream({}, b"/M gs 0 g 0 0 20 10 re f"), ref.num: page | {"Contents": Ref(n + 2), "Resources": {"ExtGState": {"M": {"SMask": {"S": Name(kind), "G": Ref(n + 1)}}}}}}))
+        pixels, _ = raster.render(masked, masked.pages()[0][1])
+        assert pixels[5, 5].tolist() == [0, 0, 0] and pixels[5, 15].tolist() == [255, 255, 255]
+
+
 def font(glyphs):
     """A font of simple glyphs given by their bytes."""
     loca, glyf = [0], b""
