@@ -237,12 +237,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
             yield _blobs(keys, lines, sketches, buckets)
 
     def find_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task sends a line once, however common it is."""
+        seen: set[bytes] = set()
         for batch in batches:
             shorts, lines = [], []
             for x in batch.column(0):
                 for _, line in _lines(x.as_py()):
-                    shorts.append(_short(_node(line)))
-                    lines.append(line)
+                    if len(line) >= min_chars and (node := _node(line)) not in seen:
+                        seen.add(node)
+                        shorts.append(_short(node))
+                        lines.append(line)
+            if len(seen) > 500_000:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(shorts, pa.int64()), pa.array(lines, pa.string())], names=["short", "line"])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +304,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     drop_cut(every)
     drop_cut(lines)
     classed = listed.join(linked, "node", "left").select("id", "line_no", F.coalesce("root", "node").alias("class"))
-    firsts = classed.groupBy("class").agg(F.min(F.struct("id", "line_no")).alias("first"))
+    # As a table of its own, so that the join shuffles both sides and Spark may split a common line's.
+    firsts = cut(classed.groupBy("class").agg(F.min(F.struct("id", "line_no")).alias("first")), "firsts")
     out = classed.join(firsts, "class").withColumn("kept", F.struct("id", "line_no").eqNullSafe(F.col("first")))
     return out.select(F.col("id").alias(id_col), "line_no", F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line_no"), "kept")
