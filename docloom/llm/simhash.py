@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # The components with links only: all other fingerprints are their own.
     smallest = roots.withColumnRenamed("node", "fp").join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
+    # As a table of its own, so that the join shuffles both sides and Spark may split a common fingerprint's.
+    named = cut(rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id")), "named")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
 
 
