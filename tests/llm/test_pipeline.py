@@ -35,13 +35,17 @@ def test_stages(spark, sf_dir):
             assert ids == {r.doc_id for r in before if not any(i.text in r.text for i in items)}
         elif name == "source_mixing":
             size = lambda r: len(brute.WORD.findall(r.text))
-            total, taken = Counter(), Counter()
+            total, taken, sums = Counter(), Counter(), {}
             for r in before:
                 total[r.source] += size(r)
+                sums[r.source] = {a + b for a in sums.get(r.source, {0}) for b in (0, size(r))}
             for r in rows:
                 taken[r.source] += size(r)
             want = targets(dict(total))
-            assert all(abs(taken[s] - want[s]) <= 0.5 for s in total)
+            for s, whole in total.items():  # a few documents don't add up to every number: as near as they can come
+                rest = want[s] % whole if want[s] < 2 * whole else 0
+                best = min(abs(a - rest) for a in sums[s])
+                assert abs(taken[s] - want[s]) <= best + 0.005 * want[s] + 1
             assert max(Counter(r.doc_id for r in rows).values()) <= 2
         else:
             assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in before)
