@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +13,17 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 PATTERNS = ("M/D", "M/D/YY", "M/D/YYYY", "MM/DD/YY", "MM/DD/YYYY", "D-Mon", "D-Mon-YY", "D-Mon-YYYY", "DD-Mon-YY", "DD-Mon-YYYY", "YY-MM-DD", "YYYY-MM-DD")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: what stands in an expression twice is otherwise worked out twice."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_pdf_date(text: Column) -> Column:
     """STRUCT of a date "D:YYYYMMDDHHmmSSOHH'mm'": null without a year; what is missing has its default, what is out of range is clamped."""
-    s = F.regexp_replace(F.trim(text), "^D:", "")
+    return _let(F.regexp_replace(F.trim(text), "^D:", ""), _pdf_date)
 
+
+def _pdf_date(s: Column) -> Column:
     def number(at: int, n: int) -> Column:
         part = F.substring(s, at + 1, n)
         return F.when(part.rlike(f"^[0-9]{{{n}}}$"), part.cast("int"))
@@ -46,7 +55,10 @@ def expand_year(year: Column, digits: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """STRUCT<year, month, day> of three parts split at - / . space or comma: Y-M-D if four digits lead, else M-D-Y, or with a month's name."""
-    parts = F.filter(F.split(F.trim(text), r"[-/. ,]+"), lambda p: p != "")
+    return _let(F.filter(F.split(F.trim(text), r"[-/. ,]+"), lambda p: p != ""), _typed_date)
+
+
+def _typed_date(parts: Column) -> Column:
     part = lambda k: F.try_element_at(parts, F.lit(k))
     num = lambda k: F.when(part(k).rlike("^[0-9]{1,9}$"), part(k).cast("int"))
     names = F.array(*[F.lit(m.lower()) for m in MONTHS])
@@ -84,5 +96,4 @@ def format_date(date: Column, index: int) -> Column:
 
 def format_date_text(text: Column, index: int) -> Column:
     """What isn't a date is left as it is."""
-    date = parse_date(text)
-    return F.when(date.isNotNull(), format_date(date, index)).otherwise(text)
+    return _let(parse_date(text), lambda date: F.when(date.isNotNull(), format_date(date, index)).otherwise(text))

@@ -88,7 +88,9 @@ def intervals_hit(points: DataFrame, areas: DataFrame, by: Sequence[str], x0: st
     a = points.select(*by, F.col(x0).alias("__x"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__end"), F.struct(*cols).alias("__row"))
     b = areas.select(*by, F.col("a0").cast(points.schema[x0].dataType).alias("__x"), F.lit(0).alias("__side"), F.col("a1").cast("double").alias("__end"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
     order = Window.partitionBy(*by).orderBy("__x", "__side")
-    swept = a.unionByName(b).withColumns({"__reach": F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.first(F.when(F.col("__side") == 0, F.col("__x")), True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    # The next start, as the last one of the rows in reverse: frames that only grow cost one pass.
+    back = Window.partitionBy(*by).orderBy(F.col("__x").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    swept = a.unionByName(b).withColumns({"__reach": F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.last(F.when(F.col("__side") == 0, F.col("__x")), True).over(back)})
     hit = (F.col("__reach") > F.col("__x")) | (F.col("__next") < F.col("__row")[x1])
     return swept.where((F.col("__side") == 1) & hit).select("__row.*")
 
