@@ -28,10 +28,10 @@ def targets(totals: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     rows = totals.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")).alias("w"))
     rows = rows.withColumn("top", F.col("source_size") * F.lit(float(most)))
     by_ratio = Window.orderBy(F.col("top") / F.col("w"), F.col("source").asc_nulls_last())
-    before, rest = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)  # frames that only grow cost one pass
     everything = Window.partitionBy()
     budget = F.sum("source_size").over(everything) * F.lit(float(share))
-    level = (budget - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("w").over(rest)
+    level = (budget - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     rows = rows.withColumn("level", F.max(F.when(level * F.col("w") <= F.col("top"), level)).over(everything))
     # Where every source is at its top (share >= most) there is no level.
     return rows.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("w"), F.col("top")), F.col("top")).alias("target"))
