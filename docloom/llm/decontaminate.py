@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Each benchmark item's word n-grams are counted over all documents. An item's seeds are those that aren't far more frequent than
-its other n-grams. A document that has a seed of an item is aligned with it in the stretches around its seeds; the score of the
-best local alignment, as a share of a whole copy's, says whether the item leaked. So copies with words changed, left out or put
-in are found as long as one seed of three words stands.
+Each benchmark item's word n-grams are counted over all documents. An item's rare seeds are those that aren't far more frequent
+than its other n-grams that occur. A document that has a rare seed of an item, or words enough of it to score, is aligned with it
+in the stretches around all n-grams that both have; the score of the best local alignment, as a share of a whole copy's, says
+whether the item leaked. So copies with words changed, left out or put in are found as long as one n-gram of three words stands,
+however many documents hold the same copy.
 """
 
 from __future__ import annotations
@@ -96,12 +97,18 @@ def _matches(block: Block, seeds: np.ndarray, text: str | None, min_score: float
     """(item id, score, first word, end word) of each item that leaked into the text."""
     ids, at, which = block.hits(text)
     starts: dict[int, list[int]] = defaultdict(list)
+    rare: set[int] = set()
     for p, g in zip(at.tolist(), which.tolist(), strict=True):
-        if seeds[g]:
-            for k, q in block.places[g]:
-                starts[k].append(p - q)
+        for k, q in block.places[g]:
+            starts[k].append(p - q)
+            if seeds[g]:
+                rare.add(k)
+    every = Counter(ids[ids >= 0].tolist()) if len(rare) < len(starts) else Counter()
     for k, offsets in starts.items():
         item = block.items[k]
+        # Without a rare seed, only a text that has words enough of the item anywhere can score.
+        if k not in rare and sum(min(n, every[w]) for w, n in Counter(item.tolist()).items()) < min_score * len(item):
+            continue
         slack = len(item) // 2 + block.n
         spans: list[list[int]] = []
         for o in sorted(offsets):
@@ -138,7 +145,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int)
 
 
 def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, common: float, block_chars: int) -> Iterator[tuple[Broadcast, Broadcast]]:
-    """Each block of the benchmark with the flags of the n-grams that are seeds, by their counts over all documents."""
+    """Each block of the benchmark with the flags of the n-grams that are rare seeds, by their counts over all documents."""
     spark = docs.sparkSession
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
         block = spark.sparkContext.broadcast(Block.of(items, n))
@@ -161,16 +168,20 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
                 by_item[k].append(g)
         seeds = np.zeros(len(frequency), bool)
         for grams in by_item.values():
-            seeds[[g for g in grams if frequency[g] <= max(1.0, common * float(np.median(frequency[grams])))]] = True
+            occurring = [g for g in grams if frequency[g]]
+            if occurring:
+                limit = common * float(np.median(frequency[occurring]))
+                seeds[[g for g in occurring if frequency[g] <= limit]] = True
         yield block, spark.sparkContext.broadcast(seeds)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, common: float = 20.0, min_score: float = 0.6, block_chars: int = 16_000_000) -> DataFrame:
     """(id_col, item_col, score, first_word, end_word): a row for each document and item that leaked into it.
 
-    score is the alignment's share of a whole copy's score. Seeds are n-grams of `n` words that no more than `common` times
-    the documents have than have the item's median n-gram: half of an item's n-grams are always seeds, however often it
-    leaked. Items of fewer than n words have no seeds. The benchmark passes in blocks of bounded size, each against all
+    score is the alignment's share of a whole copy's score. Rare seeds are n-grams of `n` words that no more than `common`
+    times the documents have than have the item's median n-gram, of those that occur. They only spare work: a document that
+    has other n-grams of an item alone is aligned too, unless it has too few of the item's words to reach min_score. Items of
+    fewer than n words have no n-grams and are never found. The benchmark passes in blocks of bounded size, each against all
     documents, whole texts. Null texts have no words; documents that repeat give a row each; without documents or items the
     result is empty; other columns are ignored.
     """
