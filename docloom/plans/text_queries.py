@@ -109,6 +109,16 @@ def one_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.one_line(F.substring("text", 1, 200)).alias("head"), tx.last_meaningful_line(F.col("text")).alias("last_line"))
 
 
+@query(r"""
+SELECT doc_id, length(line) AS chars, md5(line) AS digest
+FROM (SELECT doc_id, trim(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), ' ') AS line FROM documents)
+""")
+def one_line_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of each document in one line: its length and digest."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.one_line(F.col("text")).alias("line"))
+    return rows.select("doc_id", F.length("line").cast("long").alias("chars"), F.md5(F.col("line").cast("binary")).alias("digest"))
+
+
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document."""
