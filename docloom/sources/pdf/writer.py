@@ -233,11 +233,11 @@ class Builder:
     def image(self, name: str, x: float, y: float, width: float, height: float) -> None:
         self.raw(b"q %s 0 0 %s %s %s cm " % tuple(write(v) for v in (width, height, x, y)) + write(Name(name)) + b" Do Q")
 
-    def link(self, box: tuple[float, float, float, float], target: str | int) -> bool:
+    def link(self, box: tuple[float, float, float, float], target: str | int, page: int = -1) -> bool:
         """To a page by number or a URI of printable ASCII; false where neither can be written."""
         if isinstance(target, str) and not (target and all(" " <= c <= "~" for c in target)):
             return False
-        self.pages[-1]["links"].append((list(box), target))
+        self.pages[page]["links"].append((list(box), target))
         return True
 
     def outline(self, entries: list[tuple[int, str, int]]) -> bool:
