@@ -149,6 +149,35 @@ def copy(doc: Document, pages: list[int] | None = None, **options: Any) -> bytes
     return rewrite(reachable(doc, wanted, own) | new, {"Root": Ref(root), "Info": trailer.get("Info")}, **options)
 
 
+def import_page(doc: Document, source: Document, page: int, index: int, **options: Any) -> bytes | None:
+    """doc written anew with a page of another document at `index`; null where there is no such page or place.
+
+    What the page reaches is copied under numbers of its own, with what it inherits; references to the page itself go to the copy,
+    those to other pages of its document become null. Outlines, links and fields of doc still go to the pages they went to.
+    """
+    leaves, others = doc.pages(), source.pages()
+    if not 0 <= page < len(others) or not 0 <= index <= len(leaves):
+        return None
+    last = max(doc.xref, default=0)
+    tree, here, root = Ref(last + 1), Ref(last + 2), Ref(last + 3)
+    at, leaf = others[page]
+    own = {r.num for r, _ in others if r}
+    leaf = {k: v for k, v in leaf.items() if k != "Parent"}
+    taken = reachable(source, [r for r in references(leaf) if r.num not in own], own)
+    to = {n: last + 4 + i for i, n in enumerate(sorted(taken))}
+    copied = {to[n]: renumber(v, to | ({at.num: here.num} if at else {})) for n, v in taken.items()}
+    copied[here.num] = renumber(leaf, to | ({at.num: here.num} if at else {})) | {"Parent": tree, "Type": Name("Page")}
+    refs = [r or Ref(last + 4 + len(taken) + i) for i, (r, _) in enumerate(leaves)]
+    pages = {r.num: {k: v for k, v in p.items() if k != "Parent"} | {"Parent": tree, "Type": Name("Page")} for r, (_, p) in zip(refs, leaves, strict=True)}
+    kids = [*refs[:index], here, *refs[index:]]
+    catalog = {k: v for k, v in doc.catalog().items() if k != "Pages"}
+    trailer = dict(doc.trailer) | {"Root": root}
+    avoid = set(pages) | {tree.num}
+    kept = reachable(doc, [r for v in (catalog, trailer.get("Info"), *pages.values()) for r in references(v) if r.num not in avoid], avoid)
+    new = {root.num: catalog | {"Pages": tree}, tree.num: {"Type": Name("Pages"), "Kids": kids, "Count": len(kids)}}
+    return rewrite(kept | pages | copied | new, trailer, **options)
+
+
 @dataclass
 class Builder:
     """A new document: pages of operators, fonts, links, an outline and metadata."""

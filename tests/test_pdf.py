@@ -12,7 +12,7 @@ from docloom.sources.pdf.content import Interpreter, lines
 from docloom.sources.pdf.document import Document, text_string
 from docloom.sources.pdf.fonts import CMap, base_char, glyph_char
 from docloom.sources.pdf.objects import Keyword, Name, Parser, Ref, Stream, references, renumber, write
-from docloom.sources.pdf.writer import Builder, copy, update
+from docloom.sources.pdf.writer import Builder, copy, import_page, update
 
 
 def sample(pages=4):
@@ -222,3 +222,30 @@ def test_tables(spark):
     assert opened.count() == 12
     hits = tables.search(tables.read(df, "text_lines"), "PAGE").where("doc_id = 'ok'").collect()
     assert [(r.page_index, r.hits) for r in sorted(hits)] == [(0, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_import_page():
+    def made(name, **options):
+        b = Builder()
+        for i in range(3):
+            b.page(300 + i, 200, rotate=90 * i)
+            b.text(20, 100, f"{name}{i}")
+            b.link((1, 1, 9, 9), 0)
+            b.link((1, 20, 9, 29), 1)
+        b.outline([(0, f"{name} last", 2)])
+        b.info = {"Title": name}
+        return b.finish(**options)
+
+    doc = Document(made("a"))
+    for options, out in (({}, {}), ({"passwords": ("", "owner")}, {"packed": True})):
+        source = Document(made("b", **options))
+        for index in range(4):
+            new = Document(import_page(doc, source, 1, index, **out))
+            names = ["a0", "a1", "a2"]
+            names.insert(index, "b1")
+            assert [[t for t, _ in page_text(new, i)] for i in range(4)] == [[n] for n in names]
+            assert new.boxes(new.pages()[index][1])[0] == (0, 0, 301, 200) and new.pages()[index][1]["Rotate"] == 90
+            to = {n: [x["to_page"] for x in semantics.links(new) if x["page"] == i] for i, n in enumerate(names)}
+            assert to == {n: [names.index("a0"), names.index("a1")] for n in names if n != "b1"} | {"b1": [None, index]}
+            assert [(x["title"], x["page"]) for x in semantics.outline(new)] == [("a last", names.index("a2"))] and semantics.metadata(new)["Title"] == "a"
+        assert import_page(doc, source, 3, 0) is None and import_page(doc, source, 0, 4) is None and import_page(doc, source, -1, 0) is None
