@@ -3,7 +3,7 @@
 Each benchmark item's word n-grams are counted over all documents. An item's rare seeds are those that aren't far more frequent
 than its other n-grams that occur. A document that has a rare seed of an item, or words enough of it to score, is aligned with it
 in the stretches around all n-grams that both have; the score of the best local alignment, as a share of a whole copy's, says
-whether the item leaked. So copies with words changed, left out or put in are found as long as one n-gram of three words stands,
+whether the item leaked; a long enough passage of it word for word has, whatever its share. So copies with words changed, left out or put in are found as long as one n-gram of three words stands,
 however many documents hold the same copy.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"\w+")
 
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
+#: So many words of an item in a row are a leak, however long the item is.
+PASSAGE = 50
 
 
 def words_of(text: str | None) -> list[str]:
@@ -93,6 +95,23 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def _passage(item: np.ndarray, ids: np.ndarray, offsets: list[int], n: int) -> tuple[int, int] | None:
+    """(first word, end word) in the text of the longest run of the item's words, the first of equals; null below PASSAGE words."""
+    if len(item) < PASSAGE:
+        return None
+    best = (0, 0)
+    for o, hits in sorted(Counter(offsets).items()):
+        if hits <= PASSAGE - n:  # such a run has more n-grams than that, all of them as far from the item's
+            continue
+        lo, hi = max(0, o), min(len(ids), o + len(item))
+        breaks = np.concatenate(([-1], np.flatnonzero(ids[lo:hi] != item[lo - o : hi - o]), [hi - lo]))
+        at = int(np.diff(breaks).argmax())
+        run = lo + int(breaks[at]) + 1, lo + int(breaks[at + 1])
+        if run[1] - run[0] > best[1] - best[0]:
+            best = run
+    return best if best[1] - best[0] >= PASSAGE else None
+
+
 def _matches(block: Block, seeds: np.ndarray, text: str | None, min_score: float) -> Iterator[tuple[object, float, int, int]]:
     """(item id, score, first word, end word) of each item that leaked into the text."""
     ids, at, which = block.hits(text)
@@ -106,8 +125,9 @@ def _matches(block: Block, seeds: np.ndarray, text: str | None, min_score: float
     every = Counter(ids[ids >= 0].tolist()) if len(rare) < len(starts) else Counter()
     for k, offsets in starts.items():
         item = block.items[k]
+        passage = _passage(item, ids, offsets, block.n)
         # Without a rare seed, only a text that has words enough of the item anywhere can score.
-        if k not in rare and sum(min(n, every[w]) for w, n in Counter(item.tolist()).items()) < min_score * len(item):
+        if passage is None and k not in rare and sum(min(n, every[w]) for w, n in Counter(item.tolist()).items()) < min_score * len(item):
             continue
         slack = len(item) // 2 + block.n
         spans: list[list[int]] = []
@@ -129,6 +149,8 @@ def _matches(block: Block, seeds: np.ndarray, text: str | None, min_score: float
                 found = (score, lo, lo + end)
         if found:
             yield block.ids[k], found[0], max(found[1], found[2] - len(item) - slack), found[2]
+        elif passage:
+            yield block.ids[k], (passage[1] - passage[0]) / len(item), *passage
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str | None]]]:
@@ -178,7 +200,8 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, common: float = 20.0, min_score: float = 0.6, block_chars: int = 16_000_000) -> DataFrame:
     """(id_col, item_col, score, first_word, end_word): a row for each document and item that leaked into it.
 
-    score is the alignment's share of a whole copy's score. Rare seeds are n-grams of `n` words that no more than `common`
+    score is the alignment's share of a whole copy's score. PASSAGE words of an item in a row are a leak too, where no alignment
+    reaches min_score; score is then the longest such passage's share of the item. Rare seeds are n-grams of `n` words that no more than `common`
     times the documents have than have the item's median n-gram, of those that occur. They only spare work: a document that
     has other n-grams of an item alone is aligned too, unless it has too few of the item's words to reach min_score. Items of
     fewer than n words have no n-grams and are never found. The benchmark passes in blocks of bounded size, each against all

@@ -76,6 +76,19 @@ def test_many_equal_copies_of_an_edited_item(spark):
         assert [r.doc_id for r in dc.without_leaks(df, bench).collect()] == [999]
 
 
+def test_passages_of_long_items(spark):
+    words = [f"w{i}" for i in range(600)]
+    bench = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(f"v{i % 7}" for i in range(600)))], "item_id long, text string")
+    parts = {1: words[100:400], 2: words[:50], 3: words[-50:], 4: words[200:249], 5: words[10:59] + ["else"] + words[60:109], 6: [f"v{i % 7}" for i in range(3, 63)]}
+    docs = [(d, " ".join([*["before"] * 5, *p, *["after"] * 3])) for d, p in parts.items()]
+    docs += [(10 + i, " ".join(words[100:400])) for i in range(30)] + [(50, " ".join(words[300:350] + words[:300]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in dc.find_leaks(df, bench).collect()}
+    want = {(1, 0): (0.5, 5, 305), (2, 0): (50 / 600, 5, 55), (3, 0): (50 / 600, 5, 55), (6, 1): (0.1, 5, 65), (50, 0): (0.5, 50, 350)}
+    assert rows == want | {(10 + i, 0): (0.5, 0, 300) for i in range(30)}
+    assert {r.doc_id for r in dc.without_leaks(df, bench).collect()} == {4, 5}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
