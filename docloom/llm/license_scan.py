@@ -19,6 +19,13 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+
 # Notices and texts of public licenses.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -39,6 +46,31 @@ TEMPLATES: dict[str, str] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": _BSD + (
+        " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    # Of any version, and the Lesser and Affero licenses' too: a word or two don't tell them apart at the coverage asked for.
+    "GPL, LGPL or AGPL header": (
+        "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation, either version of the License, or (at your option) any later version."
+    ),
+    "Apache-2.0": (
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, "
+        "non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly "
+        "display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial "
+        "or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; "
+        "you must not claim that you wrote the original software."
+    ),
 }
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from tests.llm import brute
 
 from docloom.llm import license_scan as ls
@@ -54,3 +55,39 @@ def test_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {(d.doc_id, name) for d in docs.collect() for name, text in ls.TEMPLATES.items() if text in d.text}
     assert {(r.doc_id, r.license) for r in ls.scan(docs).collect()} == want
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of Some University nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This file is part of X. X is free software: you can redistribute it and/or modify
+it under the terms of the GNU %sGeneral Public License as published by
+the Free Software Foundation, either version %d of the License, or
+(at your option) any later version."""
+HEADER = "GPL, LGPL or AGPL header"
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [(BSD, {"BSD-2-Clause"}), (BSD + THIRD, {"BSD-2-Clause", "BSD-3-Clause"}), (GPL % ("", 3), {HEADER}), (GPL % ("", 2), {HEADER}), (GPL % ("Lesser ", 3), {HEADER}), (GPL % ("Affero ", 3), {HEADER})],
+)
+def test_bodies_and_headers(text, names):
+    scanner = ls.Scanner(ls.TEMPLATES, 0.8)
+    assert {r[0] for r in scanner(f"some words before {text} and some after")} == names
+
+
+def test_each_template_finds_itself():
+    scanner = ls.Scanner(ls.TEMPLATES, 0.8)
+    for name, text in ls.TEMPLATES.items():
+        assert {r[0] for r in scanner(text)} == {name} | ({"BSD-2-Clause"} if name == "BSD-3-Clause" else set())
