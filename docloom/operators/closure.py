@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,23 +11,24 @@ from pyspark.sql import functions as F
 from docloom.checkpoints import checkpointed
 
 
-def reachable(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None, src: str = "src", dst: str = "dst", rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None, src: str = "src", dst: str = "dst", rounds: int | None = None) -> DataFrame:
     """(node): all nodes that `start` (a column node) reaches, itself included, without entering nodes of `avoid`.
 
     Each round joins the newest nodes with the edges and drops what was seen; its result is checkpointed, so neither the plan nor
-    what a lost executor costs grows with the rounds. Cycles end by themselves.
+    what a lost executor costs grows with the rounds. Cycles end by themselves. More than `rounds` rounds, where given, raise an error.
     """
     kept = edges.select(F.col(src).alias("node"), F.col(dst).alias("__next"))
     if avoid is not None:
         kept = kept.join(avoid.select(F.col("node").alias("__next")), "__next", "left_anti")
         start = start.join(avoid.select("node"), "node", "left_anti")
     seen = frontier = checkpointed(start.select("node").distinct())
-    for _ in range(rounds):
+    for done in itertools.count():
         frontier = checkpointed(frontier.join(kept, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
+        if done == rounds:
+            raise RuntimeError(f"nodes are left after {rounds} rounds")
         seen = checkpointed(seen.union(frontier))
-    return seen
 
 
 def follow(links: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:

@@ -1,5 +1,6 @@
 """Lookups, closures and groupings against plain versions."""
 
+import inspect
 import random
 
 import pytest
@@ -91,3 +92,13 @@ def test_shared_dir(spark):
 def test_margins(spark, margins):
     out = grouping.collapse_margins(spark.createDataFrame([("a", m) for m in margins], "k string, m double"), ["k"], "m").first()
     assert out.m == max([0, *margins]) + min([0, *margins])
+
+
+def test_reachable_is_never_cut_silently(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert sorted(x.node for x in closure.reachable(chain, start).collect()) == list(range(6))
+    assert closure.reachable(chain, start, rounds=5).count() == 6
+    with pytest.raises(RuntimeError):
+        closure.reachable(chain, start, rounds=4)
+    assert inspect.signature(closure.reachable).parameters["rounds"].default is None
