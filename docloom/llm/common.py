@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Far more than the logarithm of any number of nodes.
 _STAR_ROUNDS = 60
 
+#: The tables that cut() wrote in each open scratch().
+_open: list[list[str]] = []
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder, read by Spark alone: the folder may be in a store that only Spark reaches."""
@@ -41,12 +46,50 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.cut_path = path
     return back
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what cut() wrote inside, but for the last table: its result. An outer scratch() owns that one."""
+    mine: list[str] = []
+    _open.append(mine)
+    done = False
+    try:
+        yield mine
+        done = True
+    finally:
+        _open.remove(mine)
+        if done and mine and _open:
+            _open[-1].append(mine[-1])
+        for path in mine[:-1] if done else mine:
+            delete_path(spark, path)
+
+
+def join_once(rows: DataFrame, once: DataFrame, key: str, many: DataFrame, salts: int = 256) -> DataFrame:
+    """rows joined, left, with the row that `once` has for their key (a key has one at most).
+
+    `many` holds keys (a column named like `key`) that a large share of rows may have: those rows are dealt out over `salts`
+    numbers and their rows of `once` repeated for each. It is broadcast, so its maker bounds it: see `crowded_keys`.
+    """
+    flags = F.broadcast(many.select(key).withColumn("__many", F.lit(True)))
+    names = [c for c in once.columns if c != key]
+    dealt = rows.join(flags, key, "left").withColumn("__salt", F.when(F.col("__many"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != key]), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__many")
+    copies = F.when(F.col("__many"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = once.join(flags, key, "left").withColumn("__salt", F.explode(copies)).drop("__many")
+    return dealt.join(repeated, [key, "__salt"], "left").select(*rows.columns, *names)
+
+
+def crowded_keys(counts: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """The keys that over 1 in `share` of all `total` rows have: fewer than `share` of them. counts holds (key, n), each key once."""
+    return counts.where(F.col(n) > max(1000, total // share)).select(key)
+
+
 def drop_cut(df: DataFrame | None) -> None:
     """Deletes what cut() wrote."""
     if df is not None and getattr(df, "cut_path", None):
