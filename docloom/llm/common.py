@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +55,33 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes at its end what cut() wrote inside, but for the last table: its result. An outer scratch() owns that one."""
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Deletes at its end what cut() wrote inside.
+
+    It gives keep(result, *tables): the result, whose tables stay for as long as it is read; drop_cut(result) deletes them, and
+    an outer scratch() does so too.
+    """
     mine: list[str] = []
+    kept: list[str] = []
+
+    def keep(result: DataFrame, *tables: DataFrame) -> DataFrame:
+        kept[:] = [t.cut_path for t in tables]
+        result.cut_paths = kept
+        return result
+
     _open.append(mine)
-    done = False
     try:
-        yield mine
-        done = True
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
     finally:
         _open.remove(mine)
-        if done and mine and _open:
-            _open[-1].append(mine[-1])
-        for path in mine[:-1] if done else mine:
-            delete_path(spark, path)
+        for path in mine:
+            if path not in kept:
+                delete_path(spark, path)
+        if _open:
+            _open[-1].extend(kept)
 
 
 def join_once(rows: DataFrame, once: DataFrame, key: str, many: DataFrame, salts: int = 256) -> DataFrame:
@@ -91,9 +104,10 @@ def crowded_keys(counts: DataFrame, key: str, n: str, total: int, share: int = 1
 
 
 def drop_cut(df: DataFrame | None) -> None:
-    """Deletes what cut() wrote."""
-    if df is not None and getattr(df, "cut_path", None):
-        delete_path(df.sparkSession, df.cut_path)
+    """Deletes what cut() wrote, and what scratch() kept for a result."""
+    if df is not None:
+        for path in [*getattr(df, "cut_paths", []), *([df.cut_path] if getattr(df, "cut_path", None) else [])]:
+            delete_path(df.sparkSession, path)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

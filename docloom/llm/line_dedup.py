@@ -381,7 +381,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     of 0.8 or more is asked of all lines, and those of fewer than 5 have to be equal. (class_id, class_line_no) is the first line
     of the class by id and number, and kept marks that line. Null texts have no lines; null ids come first; rows of docs that
     repeat give rows each, of which all with the first id and number are kept; other columns are ignored; an empty table gives an
-    empty result. Lines of any length are taken whole.
+    empty result. Lines of any length are taken whole. The result reads two tables in the shared folder: drop_cut() deletes them.
     """
     if tau not in (1, 2) or chars_per_edit < 3:
         raise ValueError("tau is 1 or 2, chars_per_edit 3 or more")
@@ -484,7 +484,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
             found = [(_node(a), _node(b)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if within(a, b, edits(max(len(a), len(b))))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
-    with scratch(spark):
+    with scratch(spark) as keep:
         listed = cut(rows.mapInArrow(list_lines, f"id {kind}, line_no long, node binary"), "lines")
         total = listed.count()
         # A line's entries take under a kilobyte, so a task gets 64 MB or so, however many lines there are.
@@ -516,11 +516,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
         one = every.join(lines.select(F.col("short").alias("a"), F.col("line").alias("line_a")), "a")
         two = one.join(lines.select(F.col("short").alias("b"), F.col("line").alias("line_b")), "b").select("line_a", "line_b")
         linked = components(two.mapInArrow(verify, "a binary, b binary")).select("node", F.col("root").alias("class"))
-        # From here on by distinct lines: the first place of each, then of each class, then every line's.
-        places = listed.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("id", "line_no")).alias("at"))
-        places = cut(places.join(linked, "node", "left").select("node", "n", "at", F.coalesce("class", "node").alias("class")), "places")
-        firsts = cut(places.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("members")), "firsts")
-        named = cut(join_once(places, firsts.select("class", "first"), "class", crowded_keys(firsts, "class", "members", total)).select("node", "n", "first"), "named")
-        out = join_once(listed, named.select("node", "first"), "node", crowded_keys(named, "node", "n", total))
-        kept = F.struct("id", "line_no").eqNullSafe(F.col("first"))
-        return cut(out.select(F.col("id").alias(id_col), "line_no", F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line_no"), kept.alias("kept")), "classes")
+        # Most lines are alone in their class; the others' classes and first places are found by distinct lines.
+        several = listed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        marks = cut(several.join(linked, "node", "full_outer").select("node", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("class", "node").alias("class")), "marks")
+        placed = join_once(listed, marks.select("node", "class"), "node", crowded_keys(marks, "node", "n", total)).where("class is not null")
+        firsts = cut(placed.groupBy("class").agg(F.min(F.struct("id", "line_no")).alias("first")), "firsts")
+        members = marks.groupBy("class").agg(F.count("*").alias("members"))
+        named = cut(join_once(marks, firsts, "class", crowded_keys(members, "class", "members", total)).select("node", "n", "first"), "named")
+        place = F.struct("id", "line_no")
+        out = join_once(listed, named.select("node", "first"), "node", crowded_keys(named, "node", "n", total)).withColumn("first", F.coalesce("first", place))
+        out = out.select(F.col("id").alias(id_col), "line_no", F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line_no"), place.eqNullSafe(F.col("first")).alias("kept"))
+        return keep(out, listed, named)
