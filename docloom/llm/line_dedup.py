@@ -14,8 +14,9 @@ near its least one, so a point gives a chain of links, however many lines it has
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import components, crowded_keys, cut, join_once, scratch
 
+_hash = xxhash.xxh3_64_intdigest
 _MASK = (1 << 63) - 1
 _PAIRS_ROWS = 50_000
 _SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
@@ -78,11 +80,21 @@ def within(a: str, b: str, tau: int) -> bool:
     return score <= tau
 
 
+def _seed(prefix: int, length: int, segment: int) -> int:
+    return (prefix * 0x9E3779B97F4A7C15 + length * 64 + segment) & 0xFFFFFFFFFFFFFFFF
+
+
+def _codes(text: str) -> bytes:
+    """Four bytes a character, so that parts are slices."""
+    return text.encode("utf-32-le", "surrogatepass")
+
+
 def _key(prefix: int, length: int, segment: int, part: str) -> int:
-    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), (prefix * 0x9E3779B97F4A7C15 + length * 64 + segment) & 0xFFFFFFFFFFFFFFFF) & _MASK
+    return _hash(_codes(part), _seed(prefix, length, segment)) & _MASK
 
 
-def _segments(length: int, tau: int) -> list[tuple[int, int]]:
+@functools.lru_cache(4096)
+def _segments(length: int, tau: int) -> tuple[tuple[int, int], ...]:
     """(start, length) of tau + 1 segments of a line, lengths alike but for one, the longer ones last."""
     base, longer = divmod(length, tau + 1)
     out, at = [], 0
@@ -90,25 +102,36 @@ def _segments(length: int, tau: int) -> list[tuple[int, int]]:
         n = base + (k > tau - longer)
         out.append((at, n))
         at += n
-    return out
+    return tuple(out)
+
+
+@functools.lru_cache(8192)
+def _places(size: int, tau: int, as_probe: bool) -> tuple[tuple[int, int, int], ...]:
+    """(start, length, seed) of each segment, or of each substring that may be a segment of a line that is no longer."""
+    if not as_probe:
+        return tuple((at, n, _seed(0, size, k)) for k, (at, n) in enumerate(_segments(size, tau)))
+    out = []
+    for length in range(max(0, size - tau), size + 1):
+        extra = size - length
+        for k, (at, n) in enumerate(_segments(length, tau)):
+            lo, hi = max(0, at - k, at + extra - (tau - k)), min(size - n, at + k, at + extra + (tau - k))
+            out += [(p, n, _seed(0, length, k)) for p in range(lo, hi + 1)]
+    return tuple(out)
 
 
-def index_keys(text: str, tau: int, prefix: int = 0) -> Iterator[tuple[int, int, int]]:
+def keys_of(text: str, tau: int, prefix: int, as_probe: bool) -> list[int]:
+    raw, more = _codes(text), _seed(prefix, 0, 0)
+    return [_hash(raw[4 * at : 4 * (at + n)], more + seed & 0xFFFFFFFFFFFFFFFF) & _MASK for at, n, seed in _places(len(text), tau, as_probe)]
+
+
+def index_keys(text: str, tau: int, prefix: int = 0) -> list[tuple[int, int, int]]:
     """(key, start, length) of each segment."""
-    for k, (at, n) in enumerate(_segments(len(text), tau)):
-        yield _key(prefix, len(text), k, text[at : at + n]), at, n
+    return [(key, at, n) for key, (at, n, _) in zip(keys_of(text, tau, prefix, False), _places(len(text), tau, False), strict=True)]
 
 
-def probe_keys(text: str, tau: int, prefix: int = 0) -> Iterator[tuple[int, int, int]]:
+def probe_keys(text: str, tau: int, prefix: int = 0) -> list[tuple[int, int, int]]:
     """(key, start, length) of each substring that may be a segment of a line that is no longer."""
-    size = len(text)
-    for length in range(max(0, size - tau), size + 1):
-        extra = size - length
-        for k, (at, n) in enumerate(_segments(length, tau)):
-            lo = max(0, at - k, at + extra - (tau - k))
-            hi = min(size - n, at + k, at + extra + (tau - k))
-            for p in range(lo, hi + 1):
-                yield _key(prefix, length, k, text[p : p + n]), p, n
+    return [(key, at, n) for key, (at, n, _) in zip(keys_of(text, tau, prefix, True), _places(len(text), tau, True), strict=True)]
 
 
 def _lines(text: str | None) -> Iterator[tuple[int, str]]:
@@ -126,10 +149,20 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "big") & _MASK
 
 
-def counts(line: str) -> int:
-    """How often characters of 16 classes occur, modulo 16, four bits each."""
-    found = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & 15, minlength=16) & 15
-    return int((found.astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64).view(np.int64))
+def counts(lines: Sequence[str]) -> np.ndarray:
+    """How often characters of 16 classes occur in each line, modulo 16, four bits each."""
+    out, at = [np.empty(0, np.int64)], 0
+    while at < len(lines):
+        end, chars = at, 0
+        while end < len(lines) and (end == at or chars + len(lines[end]) <= 1 << 20):
+            chars += len(lines[end])
+            end += 1
+        codes = np.frombuffer(_codes("".join(lines[at:end])), "<u4") & 15
+        of = np.repeat(np.arange(end - at), [len(x) for x in lines[at:end]])
+        found = np.bincount(of * 16 + codes, minlength=16 * (end - at)).reshape(-1, 16) & 15
+        out.append((found.astype(np.uint64) << _SHIFTS).sum(1, dtype=np.uint64).view(np.int64))
+        at = end
+    return np.concatenate(out)
 
 
 def _may_be_near(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
@@ -155,8 +188,13 @@ def _key_before(text: str, tau: int, prefix: int, key: int, at: int, n: int, as_
     return None
 
 
-def _flat(keys: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return (np.concatenate(keys), np.concatenate(ids).astype(np.int64)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+def _joint(parts: Sequence[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+
+
+def _roled(keys: Sequence[int], role: int) -> np.ndarray:
+    """Keys with the role as their lowest bit."""
+    return np.array(keys, np.int64) << 1 & _MASK | role
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -170,8 +208,9 @@ def _blobs(keys: np.ndarray, lines: np.ndarray, sketches: np.ndarray, buckets: i
     Buckets from `buckets` on hold entries of points, and those from 2 * `buckets` on entries of keys that are crowded for sure:
     of a key that is crowded in this batch, the bucket gets as many as show that and the others are dealt out.
     """
-    entries = np.stack((keys, lines, sketches), 1)[np.argsort(keys, kind="stable")] if len(keys) else np.empty((0, 3), np.int64)
-    where = _bucket(entries[:, 0], buckets)
+    order = np.argsort(keys)
+    entries = np.stack((keys[order], lines[order], sketches[order]), 1)
+    where, dealt = _bucket(entries[:, 0], buckets), False
     if len(entries):
         role = np.flatnonzero(np.append(True, entries[1:, 0] != entries[:-1, 0]))  # first entry of each key with its role
         sizes = np.diff(np.append(role, len(entries)))
@@ -182,14 +221,16 @@ def _blobs(keys: np.ndarray, lines: np.ndarray, sketches: np.ndarray, buckets: i
         if full.any():
             place = np.arange(len(entries)) - np.repeat(role, sizes)
             over = np.repeat(full, sizes) & (place > crowd)
+            dealt = True
             where[over] = 2 * buckets + (np.repeat(entries[role, 1], sizes)[over] + place[over] // 4096) % buckets
     more, ids = points
     if len(more):
         order = np.argsort(more, kind="stable")
         add = np.stack((more[order], ids[order], np.zeros(len(more), np.int64)), 1)
         entries, where = np.concatenate((entries, add)), np.concatenate((where, buckets + _bucket(add[:, 0], buckets)))
-    order = np.argsort(where, kind="stable")
-    where, entries = where[order], entries[order]
+    if dealt:
+        order = np.argsort(where, kind="stable")
+        where, entries = where[order], entries[order]
     firsts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.empty(0, np.int64)
     ends = np.append(firsts[1:], len(where))
     return pa.RecordBatch.from_arrays([pa.array(where[firsts], pa.int64()), pa.array([entries[i:j].tobytes() for i, j in zip(firsts, ends, strict=True)], pa.binary())], names=["bucket", "blob"])
@@ -217,7 +258,7 @@ def point_keys(text: str, prefix: int, edits: int, least: int = 0) -> np.ndarray
     far; of two strings that are, one has such a point of the other's. Marks are never blanked nor deleted. No string of fewer
     than `least` characters matters. With edits 0, only the points where strings of more edits look for this one.
     """
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.frombuffer(_codes(text), "<u4")
     n = len(codes)
     free = np.flatnonzero((codes < _MARK) | (codes > 0xDFFF))
     powers = _POWERS[:n]
@@ -420,20 +461,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in distinct_lines(batches):
-            keys, lines, sketches, points, ids = [], [], [], [], []
+            keys, probes, points, ids = [], [], [], []
             for node, line in found:
-                short, size = _short(node), len(line)
-                if tau > 1 and size < low:
-                    points.append(point_keys(line, 0, edits(size)))
-                    ids.append(np.full(len(points[-1]), short))
-                if size >= low - tau:
-                    before = len(keys)
-                    keys += [key << 1 & _MASK for key, _, _ in index_keys(line, tau)]
-                    if size >= low:
-                        keys += [key << 1 & _MASK | 1 for key, _, _ in probe_keys(line, tau)]
-                    lines += [short] * (len(keys) - before)
-                    sketches += [counts(line)] * (len(keys) - before)
-            yield _blobs(*(np.array(x, np.int64) for x in (keys, lines, sketches)), buckets, crowd, _flat(points, ids))
+                if tau > 1 and len(line) < low:
+                    points.append(point_keys(line, 0, edits(len(line))))
+                    ids.append(np.full(len(points[-1]), _short(node)))
+            found = [x for x in found if len(x[1]) >= low - tau]
+            for _, line in found:
+                keys += keys_of(line, tau, 0, False)
+                probes.append(keys_of(line, tau, 0, True) if len(line) >= low else [])
+            shorts, sketches = np.array([_short(node) for node, _ in found], np.int64), counts([line for _, line in found])
+            many = [len(p) for p in probes]
+            every = np.concatenate((_roled(keys, 0), _roled(list(itertools.chain.from_iterable(probes)), 1)))
+            each = lambda x: np.concatenate((np.repeat(x, tau + 1), np.repeat(x, many)))
+            yield _blobs(every, each(shorts), each(sketches), buckets, crowd, (_joint(points), _joint(ids)))
 
     def find_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in distinct_lines(batches):
@@ -465,7 +506,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
 
     def sign_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lines, sketches, points, ids = [], [], [], [], []
+            lines, sketched, keys, points, ids = [], [], [], [], []
             for short, prefix, role, raw, size, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rest = raw.decode("utf-8", "surrogatepass")
                 # All under a prefix go the same way: their marks are as many, and the shortest decides.
@@ -473,11 +514,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
                     points.append(point_keys(rest, prefix, tau if size >= low else 0, least))
                     ids.append(np.full(len(points[-1]), short))
                     continue
-                new = [key << 1 & _MASK | role for key, _, _ in (probe_keys if role else index_keys)(rest, tau, prefix)]
-                keys += new
-                lines += [short] * len(new)
-                sketches += [counts(rest)] * len(new)
-            yield _blobs(*(np.array(x, np.int64) for x in (keys, lines, sketches)), buckets, crowd, _flat(points, ids))
+                keys.append(_roled(keys_of(rest, tau, prefix, bool(role)), role))
+                lines.append(short)
+                sketched.append(rest)
+            many = [len(k) for k in keys]
+            yield _blobs(_joint(keys), np.repeat(np.array(lines, np.int64), many), np.repeat(counts(sketched), many), buckets, crowd, (_joint(points), _joint(ids)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
