@@ -136,11 +136,21 @@ def stitching(x: Column, domain: tuple[float, float], bounds: Sequence[float], e
 
 
 def parse_colour(text: Column) -> Column:
-    """#RRGGBB and #AARRGGBB as STRUCT<a, r, g, b> in 0..255; null for anything else."""
+    """#RRGGBB and #AARRGGBB, one digit a channel or two, as STRUCT<a, r, g, b> in 0..255; null for anything else.
+
+    sc# takes three or four reals, alpha first: colours in linear light, which the curve of sRGB turns into bytes.
+    """
     t = F.upper(F.trim(text))
-    full = F.when(t.rlike("^#[0-9A-F]{6}$"), F.concat(F.lit("FF"), F.substring(t, 2, 6))).when(t.rlike("^#[0-9A-F]{8}$"), F.substring(t, 2, 8))
+    twice = F.regexp_replace(t, "([0-9A-F])", "$1$1")
+    digits = F.when(t.rlike("^#[0-9A-F]{3,4}$"), F.substring(twice, 2, 8)).when(t.rlike("^#(?:[0-9A-F]{6}|[0-9A-F]{8})$"), F.substring(t, 2, 8))
+    full = F.lpad(digits, 8, "F")
     at = lambda k: F.conv(F.substring(full, k, 2), 16, 10).cast("int")
-    return F.when(full.isNotNull(), F.struct(at(1).alias("a"), at(3).alias("r"), at(5).alias("g"), at(7).alias("b")))
+    reals = F.transform(F.split(F.substring(t, 4, 1 << 20), ","), lambda x: F.trim(x).try_cast("double"))
+    linear = (t.startswith("SC#")) & F.size(reals).isin(3, 4) & F.forall(reals, lambda x: x.isNotNull() & ~F.isnan(x))
+    light = lambda k: to_byte(srgb_transfer(clamp(F.element_at(reals, k), 0, 1)))
+    alpha = F.when(F.size(reals) == 4, to_byte(clamp(F.element_at(reals, 1), 0, 1))).otherwise(255)
+    made = lambda a, r, g, b: F.struct(a.cast("int").alias("a"), r.cast("int").alias("r"), g.cast("int").alias("g"), b.cast("int").alias("b"))
+    return F.when(full.isNotNull(), made(at(1), at(3), at(5), at(7))).when(linear, made(alpha, light(-3), light(-2), light(-1)))
 
 
 # Blend modes over all channels. A colour is an array of three bytes.

@@ -44,18 +44,20 @@ def follow(links: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
     return now
 
 
-def inherit(tree: DataFrame, attributes: Sequence[str], levels: int = 64) -> DataFrame:
+def inherit(tree: DataFrame, attributes: Sequence[str], levels: int | None = None) -> DataFrame:
     """(node, depth, path, *attributes) of a tree (node, parent, seq, *attributes): null attributes come from the nearest ancestor.
 
-    Nodes that no root reaches (circles) aren't returned. path orders the tree depth first. A round takes one join per level.
+    Nodes that no root reaches (circles) aren't returned. path orders the tree depth first. A round takes one join per level; more
+    than `levels` levels, where given, raise an error.
     """
     rows = tree.select("node", "parent", "seq", *attributes)
     level = checkpointed(rows.where("parent is null").select("node", F.lit(0).alias("depth"), F.array("seq").alias("path"), *attributes))
     out = level
-    for _ in range(levels):
+    for depth in itertools.count(1):
         above = level.select(F.col("node").alias("parent"), "depth", "path", *[F.col(a).alias(f"__{a}") for a in attributes])
         level = checkpointed(rows.join(above, "parent").select("node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("seq")).alias("path"), *[F.coalesce(a, f"__{a}").alias(a) for a in attributes]))
         if level.isEmpty():
-            break
+            return out
+        if depth == levels:
+            raise RuntimeError(f"nodes are left below {levels} levels")
         out = out.union(level)
-    return out

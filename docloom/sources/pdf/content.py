@@ -91,6 +91,8 @@ class Interpreter:
             if item == "":
                 return
             self.budget -= 1
+            if not self.budget:
+                self.doc.warnings.add("operators after the limit")
             if item == "BI":
                 self._inline(p)
             else:

@@ -126,13 +126,25 @@ def predictor(data: bytes, parms: dict[str, Any]) -> bytes:
     colors, bits, columns = max(1, _int(parms.get("Colors"), 1)), max(1, _int(parms.get("BitsPerComponent"), 8)), max(1, _int(parms.get("Columns"), 1))
     step, row = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
     if kind == 2:
-        if bits != 8:
-            return data
-        whole = np.frombuffer(data[: len(data) // row * row], np.uint8).reshape(-1, columns, colors)
-        return np.cumsum(whole, axis=1, dtype=np.uint8).tobytes() + data[len(whole) * row :]
+        return tiff_rows(data, row, columns, colors, bits) if bits in (1, 2, 4, 8, 16) else data
     return png_rows(data, row, step)
 
 
+def tiff_rows(data: bytes, row: int, columns: int, colors: int, bits: int) -> bytes:
+    """Rows of samples that each hold the difference to the sample before of the same colour; a short last row stays."""
+    whole = np.frombuffer(data[: len(data) // row * row], np.uint8).reshape(-1, row)
+    if bits >= 8:
+        samples = whole.view(">u2" if bits == 16 else np.uint8)[:, : columns * colors].reshape(len(whole), columns, colors)
+        out = np.cumsum(samples, axis=1, dtype=samples.dtype.newbyteorder("="))
+        return out.astype(samples.dtype).tobytes() + data[len(whole) * row :]
+    each = 8 // bits
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    samples = (whole[:, :, None] >> shifts & ((1 << bits) - 1)).reshape(len(whole), row * each)
+    used = samples[:, : columns * colors].reshape(len(whole), columns, colors)
+    samples[:, : columns * colors] = (np.cumsum(used, axis=1, dtype=np.uint8) & ((1 << bits) - 1)).reshape(len(whole), columns * colors)
+    return (samples.reshape(len(whole), row, each) << shifts).sum(2, dtype=np.uint8).tobytes() + data[len(whole) * row :]
+
+
 def png_rows(data: bytes, row: int, step: int) -> bytes:
     """Rows that each begin with a filter type; a short last row is filled with zeros."""
     out, above = bytearray(), np.zeros(row, np.uint8)

@@ -103,10 +103,14 @@ TABLES: dict[str, tuple[str, Callable[[Document], Any], bool]] = {
 
 
 def read(files: DataFrame, table: str, password: str = "", id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """(id_col, ...) of a table of TABLES from files. A file that isn't one, or is damaged, gives what it gives; none ends the job."""
+    """(id_col, ..., error) of a table of TABLES from files. A file that isn't one, or is damaged, gives what it gives; none ends the job.
+
+    error is null, but in a last row of a file whose rows ended early: that row has the kind of error and nothing else.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns, make, needs_key = TABLES[table]
+    columns += ", error string"
     id_type = dict(files.dtypes)[id_col]
     schema = to_arrow_schema(files.sparkSession.createDataFrame([], f"id {id_type}, {columns}").schema)
 
@@ -127,15 +131,15 @@ def read(files: DataFrame, table: str, password: str = "", id_col: str = "doc_id
 
 
 def _safe(content: bytes | None, make: Callable[[Document], Any], needs_key: bool, password: str) -> Rows:
-    """Rows up to the first thing that no rule of leniency covers."""
+    """Rows up to the first thing that no rule of leniency covers, and one that names it."""
     try:
         doc = Document(content or b"")
         if password and doc.encrypted:
             doc.authenticate(password)
         if doc.opened and (doc.readable or not needs_key) or make is _summary:
             yield from make(doc)
-    except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError, MemoryError):
-        return
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError, MemoryError) as e:
+        yield {"error": f"{type(e).__name__}: {e}"[:200]}
 
 
 def files(spark: Any, path: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:

@@ -18,6 +18,12 @@ def deflated(raw: bytes, **d: Any) -> Stream:
     return Stream({Name(k): v for k, v in d.items()} | {"Filter": Name("FlateDecode")}, zlib.compress(raw))
 
 
+def deflate_raw(raw: bytes) -> bytes:
+    """Deflated data without a header or checksum, as archives have it."""
+    d = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return d.compress(raw) + d.flush()
+
+
 def _image(width: int, height: int, depth: int, space: Any) -> dict[str, Any]:
     return {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": depth, "ColorSpace": space}
 
