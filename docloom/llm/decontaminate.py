@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,8 @@ class Block:
     grams: np.ndarray  # distinct seeds, sorted
     first: np.ndarray  # of each, where its places begin
     places: np.ndarray  # in flat
+    paired: np.ndarray  # of each item, whether its seeds are pairs, not words
+    least: np.ndarray  # of each item, how many of its pairs or words a text has to have
     min_score: float
 
     @classmethod
@@ -70,19 +72,19 @@ class Block:
         for _, text in rows:
             flat.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int32))
             ends.append(len(flat[-1]))
-        block = cls([i for i, _ in rows], vocabulary, np.concatenate(flat), np.cumsum(ends), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), min_score)
-        codes = np.full(len(block.flat), -1, np.int64)
-        for k, size in enumerate(ends):
-            lo, (n, _) = block.ends[k] - size, sure_seeds(size, min_score) if size else (1, 1)
-            codes[lo : lo + size + 1 - n] = block.codes(block.item(k), n)
-        at = np.flatnonzero(codes >= 0)
-        return block.keep(at, codes[at])
+        sure = [sure_seeds(size, min_score) if size else (1, 1) for size in ends]
+        least = np.array([min(m, PASSAGE - 1) if size >= PASSAGE else m for (_, m), size in zip(sure, ends, strict=True)], np.int64)
+        none = np.empty(0, np.int64)
+        block = cls([i for i, _ in rows], vocabulary, np.concatenate(flat), np.cumsum(ends), none, none, none, np.array([n == 2 for n, _ in sure]), least, min_score)
+        codes = block.codes_of(np.arange(len(ends)))
+        places = np.flatnonzero(codes >= 0)
+        return block.keep(places, codes[places])
 
     def keep(self, at: np.ndarray, codes: np.ndarray) -> Block:
         """The block with only these places of seeds."""
         order = np.argsort(codes, kind="stable")
         grams, first = np.unique(codes[order], return_index=True)
-        return Block(self.ids, self.vocabulary, self.flat, self.ends, grams, np.append(first, len(at)), at[order].astype(np.int32), self.min_score)
+        return replace(self, grams=grams, first=np.append(first, len(at)), places=at[order].astype(np.int32))
 
     def item(self, k: int) -> np.ndarray:
         return self.flat[self.ends[k - 1] if k else 0 : self.ends[k]]
@@ -91,18 +93,28 @@ class Block:
         """A number for each run of n words, n 1 or 2; -1 where a word isn't in the vocabulary."""
         if n == 1:
             return ids.astype(np.int64)
-        a, b, size = ids[:-1].astype(np.int64), ids[1:], len(self.vocabulary)
+        a, b, size = ids[:-1].astype(np.int64), ids[1:], max(1, len(self.vocabulary))
         return np.where((a >= 0) & (b >= 0), size + a * size + b, -1)
 
+    def codes_of(self, items: np.ndarray) -> np.ndarray:
+        """For each word of the items one after the other the code of the seed that begins there, -1 for none."""
+        sizes = np.diff(self.ends, prepend=0)[items]
+        starts = np.cumsum(sizes) - sizes
+        places = np.repeat(self.ends[items] - sizes - starts, sizes) + np.arange(sizes.sum())
+        one = self.flat[places].astype(np.int64)
+        paired = np.repeat(self.paired[items], sizes)
+        last = places == np.repeat(self.ends[items] - 1, sizes)
+        size = max(1, len(self.vocabulary))
+        return np.where(paired, np.where(last, -1, size + one * size + self.flat[np.minimum(places + 1, len(self.flat) - 1)]), one)
+
     def text(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the text of seeds, which seeds)."""
+    def hits(self, every: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the text of seeds, which seeds) from the codes of its words and pairs."""
         at, which = [], []
-        for n in (2, 1):
-            codes = self.codes(ids, n)
+        for codes in every:
             some = np.flatnonzero(codes >= 0)
             found = np.searchsorted(self.grams, codes[some])
             ok = found < len(self.grams)
@@ -112,6 +124,15 @@ class Block:
             which.append(found[ok])
         return np.concatenate(at), np.concatenate(which)
 
+    def likely(self, items: np.ndarray, every: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Those of the items of whose pairs or words the text has as many as any copy or passage."""
+        known = np.sort(np.concatenate(every))
+        sizes = np.diff(self.ends, prepend=0)[items]
+        starts = np.cumsum(sizes) - sizes
+        codes = self.codes_of(items)
+        there = (codes >= 0) & (known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes)
+        return items[np.add.reduceat(there.astype(np.int64), starts) >= self.least[items]]
+
     def rare(self, frequency: np.ndarray) -> Block:
         """The block with the seeds that are left when each item gives up its most frequent places.
 
@@ -168,13 +189,18 @@ def _passage(item: np.ndarray, ids: np.ndarray) -> tuple[int, int] | None:
 def _matches(block: Block, text: str | None) -> Iterator[tuple[object, float, int, int]]:
     """(item id, score, first word, end word) of each item that leaked into the text."""
     ids = block.text(text)
-    at, which = block.hits(ids)
+    every = block.codes(ids, 1), block.codes(ids, 2)
+    at, which = block.hits(every)
     if not len(at):
         return
     many = block.first[which + 1] - block.first[which]
     spots = block.places[np.repeat(block.first[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
     item_of = np.searchsorted(block.ends, spots, side="right")
     offsets = np.repeat(at, many) - (spots - np.append(0, block.ends)[item_of])
+    kept = np.isin(item_of, block.likely(np.unique(item_of), every))
+    item_of, offsets = item_of[kept], offsets[kept]
+    if not len(item_of):
+        return
     order = np.lexsort((offsets, item_of))
     item_of, offsets = item_of[order], offsets[order]
     firsts = np.flatnonzero(np.append(True, item_of[1:] != item_of[:-1])).tolist()
@@ -189,7 +215,7 @@ def _matches(block: Block, text: str | None) -> Iterator[tuple[object, float, in
         for part in np.split(near, breaks):
             lo, hi = max(0, int(part[0]) - slack), min(len(ids), int(part[-1]) + len(item) + slack)
             some = ids[lo:hi]
-            if np.isin(mine, block.codes(some, n)).sum() < needed:
+            if np.isin(mine, every[n - 1][lo : hi + 1 - n]).sum() < needed:
                 continue
             if want is None:
                 words, want = np.unique(item, return_counts=True)
@@ -232,7 +258,8 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
             found = np.zeros(len(block.grams), np.int64)
             for batch in batches:
                 for x in batch.column(0):
-                    found[np.unique(block.hits(block.text(x.as_py()))[1])] += 1
+                    ids = block.text(x.as_py())
+                    found[np.unique(block.hits((block.codes(ids, 1), block.codes(ids, 2)))[1])] += 1
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(found[some])], names=["gram", "docs"])
 
