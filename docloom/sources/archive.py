@@ -508,10 +508,14 @@ TABLES: dict[str, tuple[str, Callable[[Archive], Any]]] = {
 
 
 def read(files: DataFrame, table: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """(id_col, ...) of a table of TABLES. What isn't an archive gives no rows; damage gives rows with their defects."""
+    """(id_col, ..., error) of a table of TABLES. What isn't an archive gives no rows; damage gives rows with their defects.
+
+    error is null, but in a last row of a file whose rows ended early: that row has the kind of error and nothing else.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns, make = TABLES[table]
+    columns += ", error string"
     id_type = dict(files.dtypes)[id_col]
     schema = to_arrow_schema(files.sparkSession.createDataFrame([], f"id {id_type}, {columns}").schema)
 
@@ -524,8 +528,8 @@ def read(files: DataFrame, table: str, id_col: str = "doc_id", content_col: str
                     if a.entries:
                         for row in make(a):
                             rows.append({"id": doc_id.as_py(), **row})
-                except (ValueError, TypeError, KeyError, IndexError, AttributeError, struct.error, RecursionError):
-                    pass
+                except (ValueError, TypeError, KeyError, IndexError, AttributeError, struct.error, RecursionError) as e:
+                    rows.append({"id": doc_id.as_py(), "error": f"{type(e).__name__}: {e}"[:200]})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
