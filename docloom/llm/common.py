@@ -84,6 +84,18 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             _open[-1].extend(kept)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        made = f"__{name}"
+        while made.lower() in taken:
+            made += "_"
+        out.append(made)
+    return out
+
+
 def join_once(rows: DataFrame, once: DataFrame, key: str, many: DataFrame, salts: int = 256) -> DataFrame:
     """rows joined, left, with the row that `once` has for their key (a key has one at most).
 

@@ -278,13 +278,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item in a row are a leak too, where no alignment reaches min_score; score is then the longest such passage's share of
     the item. An item of a word or two has leaked wherever they stand (two with a word between at most). The benchmark
     passes in blocks of bounded size, each against all documents, whole texts, in two passes; what was found is written to the
-    shared folder. Null texts have no words; documents that repeat give a row each; items without words are never found, items
+    shared folder (drop_cut() deletes it). Null texts have no words; documents that repeat give a row each; items without words are never found, items
     that repeat are found each; without documents or items the result is empty; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     item_kind = pa.string() if dict(benchmark.dtypes)[item_col] == "string" else pa.int64()
     schema = f"id {dict(docs.dtypes)[id_col]}, item {'string' if item_kind == pa.string() else 'long'}, score double, first_word long, end_word long"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out, found_in = docs.sparkSession.createDataFrame([], schema), []
     for sent in _seeded(docs, benchmark, text_col, item_col, item_text_col, min_score, block_chars):
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -298,9 +298,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 kinds = (item_kind, pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["id", "item", "score", "first_word", "end_word"])
 
-        out = out.union(cut(rows.mapInArrow(match, schema), "leaks"))
+        found_in.append(cut(rows.mapInArrow(match, schema), "leaks"))
+        out = out.union(found_in[-1])
         sent.destroy()
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "first_word", "end_word")
+    out = out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "first_word", "end_word")
+    out.cut_paths = [t.cut_path for t in found_in]
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = 0.6, block_chars: int = 16_000_000) -> DataFrame:

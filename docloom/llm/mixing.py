@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD_PATTERN, cut
+from docloom.llm.common import WORD_PATTERN, cut, scratch, unused
 
 #: Documents of one length are dealt to so many buckets by their seeded hash, so that no single length is one task.
 BUCKETS = 256
@@ -105,49 +105,59 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     and text.
     What one task gathers of a source are its counts by length. Documents of no words go with the whole passes, and once where
     their source has no words at all. Rows that repeat are rows of their own; null ids and sources are kept; an empty table
-    gives an empty result; other columns of docs are ignored.
+    gives an empty result; other columns of docs are ignored. The result reads three tables in the shared folder: drop_cut()
+    deletes them.
     """
-    text = F.col(text_col).cast("string")
-    source_id = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-            _row_hash(id_col, source_col, text_col, seed).alias("row_hash"),
-        ).withColumns({"source_id": source_id, "bucket": F.pmod(F.xxhash64("row_hash"), F.lit(BUCKETS)).cast("int")}),
-        "sizes",
-    )
-    counts = cut(rows.groupBy("source_id", "size", "bucket").agg(F.first("source").alias("source"), F.count("*").alias("n")), "lengths")
-    totals = counts.groupBy("source_id").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    aims = targets(totals.select("source", "source_size"), weights, share, most).withColumn("source_id", source_id).drop("source")
-    aims = cut(aims.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")), "targets")
-    by_length = counts.where("size > 0").groupBy("source_id", "size").agg(F.sum("n").alias("n")).join(aims, "source_id")
-    takes = by_length.groupBy("source_id").applyInPandas(_fit_source, "source_id long, size long, take long")
-    # A length's documents are taken bucket by bucket: all of the first ones, a part of one, none of the rest.
-    before = F.sum("n").over(Window.partitionBy("source_id", "size").orderBy("bucket")) - F.col("n")
-    quotas = counts.drop("source").join(takes.hint("merge"), ["source_id", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - before)))
-    quotas = cut(quotas.where("quota > 0").select("source_id", "size", "bucket", "n", "quota"), "quotas")
-    # By merge joins: these tables grow with the documents, and are far smaller as files than in memory.
-    keyed = rows.join(quotas.hint("merge"), ["source_id", "size", "bucket"], "left")
-    in_part = F.coalesce(F.col("quota") < F.col("n"), F.lit(False))
-    place = F.row_number().over(Window.partitionBy("source_id", "size", "bucket").orderBy("row_hash", "id"))
-    some = keyed.where(in_part).withColumn("one", (place <= F.col("quota")).cast("long"))
-    rest = keyed.where(~in_part).withColumn("one", F.col("quota").isNotNull().cast("long"))
-    taken = some.unionByName(rest).join(aims, "source_id")
-    return taken.select(F.col("id").alias(id_col), "row_hash", F.col("source").alias(source_col), "size", "source_size", "target", (F.col("full") + F.col("one")).alias("times"))
+    with scratch(docs.sparkSession) as keep:
+        text = F.col(text_col).cast("string")
+        source_id = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
+        rows = cut(
+            docs.select(
+                F.col(id_col).alias("id"),
+                F.col(source_col).cast("string").alias("source"),
+                F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+                _row_hash(id_col, source_col, text_col, seed).alias("row_hash"),
+            ).withColumns({"source_id": source_id, "bucket": F.pmod(F.xxhash64("row_hash"), F.lit(BUCKETS)).cast("int")}),
+            "sizes",
+        )
+        counts = cut(rows.groupBy("source_id", "size", "bucket").agg(F.first("source").alias("source"), F.count("*").alias("n")), "lengths")
+        totals = counts.groupBy("source_id").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
+        aims = targets(totals.select("source", "source_size"), weights, share, most).withColumn("source_id", source_id).drop("source")
+        aims = cut(aims.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")), "targets")
+        by_length = counts.where("size > 0").groupBy("source_id", "size").agg(F.sum("n").alias("n")).join(aims, "source_id")
+        takes = by_length.groupBy("source_id").applyInPandas(_fit_source, "source_id long, size long, take long")
+        # A length's documents are taken bucket by bucket: all of the first ones, a part of one, none of the rest.
+        before = F.sum("n").over(Window.partitionBy("source_id", "size").orderBy("bucket")) - F.col("n")
+        quotas = counts.drop("source").join(takes.hint("merge"), ["source_id", "size"]).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - before)))
+        quotas = cut(quotas.where("quota > 0").select("source_id", "size", "bucket", "n", "quota"), "quotas")
+        # By merge joins: these tables grow with the documents, and are far smaller as files than in memory.
+        keyed = rows.join(quotas.hint("merge"), ["source_id", "size", "bucket"], "left")
+        in_part = F.coalesce(F.col("quota") < F.col("n"), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("source_id", "size", "bucket").orderBy("row_hash", "id"))
+        some = keyed.where(in_part).withColumn("one", (place <= F.col("quota")).cast("long"))
+        rest = keyed.where(~in_part).withColumn("one", F.col("quota").isNotNull().cast("long"))
+        taken = some.unionByName(rest).join(aims, "source_id")
+        return keep(taken.select(F.col("id").alias(id_col), "row_hash", F.col("source").alias(source_col), "size", "source_size", "target", (F.col("full") + F.col("one")).alias("times")), rows, quotas, aims)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """The rows of docs, with all their columns, as often as mix() takes them."""
+    """The rows of docs, with all their columns, as often as mix() takes them.
+
+    Rows with one id, source and text share what is taken of them, the first by all columns (those with maps in them aside) first.
+    Null ids, sources and texts are values like others; an empty table gives an empty result; no column name of docs clashes.
+    """
     names = docs.columns
-    times = mix(docs, id_col, source_col, text_col, weights, share, most, seed).select(F.col(id_col).alias("__id"), F.col("row_hash").alias("__hash"), F.col("times").alias("__times"))
-    # Rows that are equal but for other columns share what the mix takes of them.
-    times = cut(times.groupBy("__id", "__hash").agg(F.sum("__times").alias("__times"), F.count("*").alias("__n")).where("__times > 0"), "times")
-    keyed = docs.withColumn("__key", _row_hash(id_col, source_col, text_col, seed))
-    joined = keyed.join(times.hint("merge"), (F.col("__key") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    single = joined.where("__n = 1").withColumn("__own", F.col("__times"))
-    place = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy(*[x for x, kind in docs.dtypes if not kind.startswith("map")]))
-    many = joined.where("__n > 1").withColumn("__own", F.floor(F.col("__times") / F.col("__n")) + (place <= F.col("__times") % F.col("__n")).cast("long"))
-    rows = single.unionByName(many).where("__own > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int")))).select(*names)
+    own_id, own_hash, times_, n, key, own, copy = unused(docs, "id", "hash", "times", "n", "key", "own", "copy")
+    # Maps have no order, wherever in a column they are.
+    ordered = [x for x, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    with scratch(docs.sparkSession) as keep:
+        times = mix(docs, id_col, source_col, text_col, weights, share, most, seed).select(F.col(id_col).alias(own_id), F.col("row_hash").alias(own_hash), F.col("times").alias(times_))
+        # Rows that are equal but for other columns share what the mix takes of them.
+        times = cut(times.groupBy(own_id, own_hash).agg(F.sum(times_).alias(times_), F.count("*").alias(n)).where(F.col(times_) > 0), "times")
+        keyed = docs.withColumn(key, _row_hash(id_col, source_col, text_col, seed))
+        joined = keyed.join(times.hint("merge"), (F.col(key) == F.col(own_hash)) & F.col(id_col).eqNullSafe(F.col(own_id)))
+        single = joined.where(F.col(n) == 1).withColumn(own, F.col(times_))
+        place = F.row_number().over(Window.partitionBy(own_hash, own_id).orderBy(*ordered))
+        many = joined.where(F.col(n) > 1).withColumn(own, F.floor(F.col(times_) / F.col(n)) + (place <= F.col(times_) % F.col(n)).cast("long"))
+        rows = single.unionByName(many).where(F.col(own) > 0)
+        return keep(rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own).cast("int")))).select(*names), times)

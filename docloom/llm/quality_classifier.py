@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, drop_cut
+from docloom.llm.common import cut, scratch
 
 #: Features: byte n-grams of these lengths, hashed to 2**BITS slots.
 LENGTHS = (1, 2, 3, 4)
@@ -144,14 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), batch.column(1)], names=["slots", "y"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = cut(marks(labels, label_col, id_col), "marks")
-    # A merge join at every size: texts that a small table of labels lets stay where they are would move once it has grown.
-    n0, n1, total = _counts(texts.join(known.hint("merge"), "id"))
-    picked = [known.where(F.col("y") == k).withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(fit_rows) for k in (0, 1)]
-    # So few ids that the join may broadcast them. An id may have several rows, so their number is bounded once more.
-    sample = texts.join(F.broadcast(cut(picked[0].union(picked[1]), "picked")), "id").orderBy("h", F.xxhash64("text")).limit(4 * fit_rows)
-    rows = sample.select("text", "y").mapInArrow(run, "slots array<int>, y int").toArrow().combine_chunks()
-    drop_cut(known)
+    with scratch(docs.sparkSession):
+        known = cut(marks(labels, label_col, id_col), "marks")
+        # A merge join at every size: texts that a small table of labels lets stay where they are would move once it has grown.
+        n0, n1, total = _counts(texts.join(known.hint("merge"), "id"))
+        picked = [known.where(F.col("y") == k).withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(fit_rows) for k in (0, 1)]
+        # So few ids that the join may broadcast them. An id may have several rows, so their number is bounded once more.
+        sample = texts.join(F.broadcast(cut(picked[0].union(picked[1]), "picked")), "id").orderBy("h", F.xxhash64("text")).limit(4 * fit_rows)
+        rows = sample.select("text", "y").mapInArrow(run, "slots array<int>, y int").toArrow().combine_chunks()
     y = rows["y"].to_numpy() * 2.0 - 1
     if not (y > 0).any() or not (y < 0).any():
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0 if not len(y) else 200.0 * y[0])
@@ -184,7 +184,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores `threshold` or more, with all their columns."""
+    """The rows of docs whose text scores `threshold` or more, with all their columns.
+
+    Null texts count as empty; rows with equal texts stay or go alike, a score of just `threshold` stays; ids play no part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -8,7 +8,7 @@ a deletion variant joins only fingerprints that differ in the deleted bit, so ea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import components, cut
+from docloom.llm.common import components, cut, scratch, unused
 
 SEED = 42
 #: Two segments with one deletion each hold for three differing bits, no more.
@@ -130,17 +130,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     root is the least fingerprint and component_id the smallest id of the component. Null and empty texts have fingerprint 0
     and are linked like any other; a null id takes no part in the smallest id. Rows that repeat are kept. Columns of docs
-    other than the two named are ignored. An empty table gives an empty result.
+    other than the two named are ignored. An empty table gives an empty result. The result reads two tables in the shared
+    folder: drop_cut() deletes them.
     """
-    rows = cut(fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle_words).withColumnRenamed(id_col, "id"), "fingerprints")
-    least = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(least.select("fp"), crowd=crowd))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # The components with links only: all other fingerprints are their own.
-    smallest = roots.withColumnRenamed("node", "fp").join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    # As a table of its own, so that the join shuffles both sides and Spark may split a common fingerprint's.
-    named = cut(rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        rows = cut(fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle_words).withColumnRenamed(id_col, "id"), "fingerprints")
+        least = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+        roots = components(links(least.select("fp"), crowd=crowd))
+        rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        # The components with links only: all other fingerprints are their own.
+        smallest = roots.withColumnRenamed("node", "fp").join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+        # As a table of its own, so that the join shuffles both sides and Spark may split a common fingerprint's.
+        named = cut(rooted.join(smallest, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id")), "named")
+        return keep(rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id"), rows, named)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -149,6 +151,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Where an id stands for one row, which the counts tell, a semi join on ids does it. Rows that share an id, and those
     without, are told apart by their fingerprints.
     """
+    with scratch(docs.sparkSession) as keep:
+        return _firsts(docs, id_col, text_col, shingle_words, keep)
+
+
+def _firsts(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, keep: Callable[..., DataFrame]) -> DataFrame:
     found = near_duplicates(docs, id_col, text_col, shingle_words).withColumnRenamed(id_col, "id")
     first = cut(found.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.id", "first.fp"), "first")
     shared = cut(found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "shared")
@@ -156,14 +163,15 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = first.join(shared, first["id"].eqNullSafe(shared["id"]), "left_anti").select("id")
     out = docs.join(once, docs[id_col] == once["id"], "left_semi")
     if shared.isEmpty():
-        return out
+        return keep(out, first, shared)
+    (mark,) = unused(docs, "fp")
     some = docs.join(shared, docs[id_col].eqNullSafe(shared["id"]), "left_semi")
     at = names.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle_words) for x in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, mark])
 
-    some = some.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])).dropDuplicates([id_col, "__fp"])
-    return out.union(some.join(first, some[id_col].eqNullSafe(first["id"]) & (some["__fp"] == first["fp"]), "left_semi").select(*names))
+    some = some.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])).dropDuplicates([id_col, mark])
+    return keep(out.union(some.join(first, some[id_col].eqNullSafe(first["id"]) & (some[mark] == first["fp"]), "left_semi").select(*names)), first, shared)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, scratch
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -78,13 +78,14 @@ def judge(pages: DataFrame, rules: DataFrame | Sequence[Rule], id_col: str = "pa
         # Before all urls of the same key.
         points.select("key", F.lit(-(2**63)).alias("salt"), F.lit(True), F.lit(None).cast(dict(urls.dtypes)["id"]), F.lit(None).cast("string"), F.lit(None).cast("string"), "stack")
     )
-    dealt = cut(both.repartitionByRange(parts, "key", "salt").withColumn("part", F.spark_partition_id()), "urls")
-    ends = dealt.where("is_point").groupBy("part").agg(F.max_by("stack", "key").alias("stack"))
-    every = dealt.select("part").distinct().join(ends, "part", "left")
-    # As many rows as there are partitions: what the sweep brings along from the ranges before.
-    brought = every.select("part", F.last("stack", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("brought"))
-    swept = dealt.withColumn("active", F.last("stack", True).over(Window.partitionBy("part").orderBy("key", F.col("is_point").desc(), "salt").rowsBetween(Window.unboundedPreceding, 0)))
-    found = swept.where("not is_point").join(brought, "part", "left").withColumn("active", F.coalesce("active", "brought"))
-    best = F.try_element_at(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
-    found = found.withColumn("best", best)
-    return found.select(F.col("id").alias(id_col), "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    with scratch(spark) as keep:
+        dealt = cut(both.repartitionByRange(parts, "key", "salt").withColumn("part", F.spark_partition_id()), "urls")
+        ends = dealt.where("is_point").groupBy("part").agg(F.max_by("stack", "key").alias("stack"))
+        every = dealt.select("part").distinct().join(ends, "part", "left")
+        # As many rows as there are partitions: what the sweep brings along from the ranges before.
+        brought = every.select("part", F.last("stack", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("brought"))
+        swept = dealt.withColumn("active", F.last("stack", True).over(Window.partitionBy("part").orderBy("key", F.col("is_point").desc(), "salt").rowsBetween(Window.unboundedPreceding, 0)))
+        found = swept.where("not is_point").join(brought, "part", "left").withColumn("active", F.coalesce("active", "brought"))
+        best = F.try_element_at(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
+        found = found.withColumn("best", best)
+        return keep(found.select(F.col("id").alias(id_col), "host", "path", F.concat("best.host", "best.path").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")), dealt)
