@@ -135,4 +135,4 @@ def test_classifier_against_plain_counts(spark):
         for _ in range(100):
             off = np.zeros(size + 1)
             off[used] = random.normal(0, step / np.sqrt(len(used)), len(used))
-            assert cost(w + off) >= 0.99 * best  # twenty rounds come within a hundredth
+            assert cost(w + off) >= 0.99 * best
