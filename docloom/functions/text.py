@@ -152,6 +152,17 @@ def list_marker(kind: Column, ordinal: Column) -> Column:
     )
 
 
+def same_family(a: Column, b: Column) -> Column:
+    """Whether two font families are one: quotes, white space and case don't tell them apart."""
+    plain = lambda c: fold_case(F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*[\"']|[\"']\s*$", ""), r"\s+", " ")))
+    return plain(a) == plain(b)
+
+
+def between_rows(parent: Column, text: Column) -> Column:
+    """Whether text is white space between the parts of a table, which makes no box."""
+    return parent.isin("table", "thead", "tbody", "tfoot", "tr", "colgroup") & text.rlike(r"^[ \t\r\n\f]*$")
+
+
 def collapses(white_space: Column) -> Column:
     return white_space.isin("normal", "nowrap", "pre-line")
 

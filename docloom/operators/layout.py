@@ -189,6 +189,47 @@ def automatic_width(constraints: Sequence[tuple[float, float]], available: float
     return max(caption, low, min(high, available))
 
 
+def whole_table(children: Sequence[tuple[str, object]]) -> list[list[list[object]]]:
+    """Rows of cells of a table's children (display, box): what is no row or cell is put in ones without an element.
+
+    Rows are lists of cells, cells lists of boxes; a row's box is its list of (display, box). Cells in a run, and other boxes in
+    a run, share one row; boxes that follow each other share one cell.
+    """
+    rows: list[list[list[object]]] = []
+    loose = False  # whether the last row stands for no element
+    joined = False  # whether its last cell does
+    for display, box in children:
+        if display == "table-row":
+            rows.append(whole_row(box))
+            loose = False
+            continue
+        if not loose:
+            rows.append([])
+            loose, joined = True, False
+        if display == "table-cell":
+            rows[-1].append([box])
+            joined = False
+        elif joined:
+            rows[-1][-1].append(box)
+        else:
+            rows[-1].append([box])
+            joined = True
+    return rows
+
+
+def whole_row(children: Sequence[tuple[str, object]]) -> list[list[object]]:
+    """Cells of a row's children: boxes in a run that are none share one."""
+    cells: list[list[object]] = []
+    joined = False
+    for display, box in children:
+        if joined and display != "table-cell":
+            cells[-1].append(box)
+        else:
+            cells.append([box])
+        joined = display != "table-cell"
+    return cells
+
+
 def place_cells(rows: Sequence[Sequence[tuple[int, int]]]) -> list[list[int]]:
     """Column of each cell (column span, row span), past the cells that reach down from above."""
     taken: set[tuple[int, int]] = set()

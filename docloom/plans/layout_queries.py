@@ -405,3 +405,92 @@ def built_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("n"), F.col("p_name").alias("name"))
     return inside(files_of(rows, make), "digest string, size long, name string, n_pages int, title string", look)
+
+
+@query("""
+SELECT p_partkey, true AS same, p_size % 2 = 0 AS other FROM part
+""")
+def font_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of families that quotes, spaces and case don't tell apart."""
+    brand = F.col("p_brand")
+    quoted = F.concat(F.lit(' "'), F.upper(F.replace(brand, F.lit("#"), F.lit("  "))), F.lit('"'))
+    plain = F.replace(brand, F.lit("#"), F.lit(" "))
+    other = F.when(F.col("p_size") % 2 == 0, F.lower(plain)).otherwise(F.concat(plain, F.lit("x")))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.same_family(plain, quoted).alias("same"), tx.same_family(plain, other).alias("other"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS skipped FROM part")
+def table_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space between a table's parts makes no box; text there and white space elsewhere does."""
+    n = F.col("p_size") % 3
+    parent = F.when(n == 2, "p").otherwise("tr")
+    text = F.when(n == 1, F.concat(F.lit(" "), "p_name")).otherwise(" \n\t")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.between_rows(parent, text).alias("skipped"))
+
+
+@query(f"""
+WITH {_LINES}, d AS (SELECT doc_id, i, CAST(q AS INTEGER) % 2 AS is_cell FROM l),
+b AS (SELECT doc_id, i, is_cell, CASE WHEN is_cell = 1 OR lag(is_cell) OVER w IS NULL OR lag(is_cell) OVER w = 1 THEN 1 ELSE 0 END AS opens FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, 1 AS table_rows, CAST(sum(opens) AS BIGINT) AS cells, count(*) AS boxes FROM b GROUP BY doc_id
+""")
+def anonymous_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose children are no rows, and partly no cells, get the boxes that are missing."""
+
+    def make(row: Row) -> Any:
+        rows = layout.whole_table([("table-cell" if int(r["l_quantity"]) % 2 else "inline", i) for i, r in enumerate(row["rows"])])
+        yield {"doc_id": row["doc_id"], "table_rows": len(rows), "cells": sum(map(len, rows)), "boxes": sum(len(c) for r in rows for c in r)}
+
+    return mapped(_lines(spark, sf_dir), "doc_id long, table_rows int, cells long, boxes long", make)
+
+
+@query("""
+SELECT p_partkey, replace(p_brand, '#', '') AS family, p_size % 2 = 0 OR p_size % 5 = 0 AS bold, p_size % 3 = 0 AS italic, false AS serif, p_size % 7 = 0 AS fixed FROM part
+""")
+def face_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fonts ask of a host, by their names and flags."""
+    from docloom.sources.pdf.fonts import face_request
+
+    def make(row: Row) -> Any:
+        n = row["p_size"]
+        name = "ABCDEF+" + row["p_brand"].replace("#", "") + ("-Bold" if n % 2 == 0 else "-") + ("Italic" if n % 3 == 0 else "")
+        yield {"p_partkey": row["p_partkey"], **face_request(name, (1 if n % 7 == 0 else 0) | (1 << 18 if n % 5 == 0 else 0))}
+
+    return mapped(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey long, family string, bold boolean, italic boolean, serif boolean, fixed boolean", make)
+
+
+@query("""
+WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n FROM customer GROUP BY ALL)
+SELECT doc_id, property, n AS elements FROM c, (VALUES ('color'), ('margin'), ('font-weight')) AS p(property)
+""")
+def property_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of each book have each property declared."""
+    from docloom.sources import archive
+
+    def make(row: Row) -> Any:
+        raw = archive_queries.catalogue(row | {"doc_id": 1})
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(raw)) as old, zipfile.ZipFile(out, "w") as new:
+            for name in old.namelist():
+                body = old.read(name).replace(b"<p>", b'<p style="color: red; margin: 0">').replace(b"</head>", b"<style>b { font-weight: bold } i { color: blue }</style></head>")
+                new.writestr(name, body)
+        yield from ({"doc_id": row["doc_id"], "property": k, "elements": v} for k, v in synthesis.census(archive.Archive(out.getvalue())).items())
+
+    customers = archive_queries._customers(spark, sf_dir)
+    return mapped(customers.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id long, property string, elements long", make)
+
+
+@query("""
+SELECT p_partkey, 6 AS operators, p_size % 2 = 0 AS even_odd, CAST(p_size AS DOUBLE) AS width, CAST(p_size AS DOUBLE) / 2 AS height FROM part
+""")
+def path_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in the short syntax, absolute and relative, with half circles."""
+    from docloom.sources import paths
+
+    def make(row: Row) -> Any:
+        n = row["p_size"]
+        even_odd, found = paths.parse(f"F{0 if n % 2 == 0 else 1} M0,{n / 2} a{n / 2},{n / 2} 0 0 1 {n},0 l-{n},0 h0 z")
+        points = [p for line, _ in raster.flatten(found) for p in line]
+        xs, ys = [x for x, _ in points], [y for _, y in points]
+        yield {"p_partkey": row["p_partkey"], "operators": len(found), "even_odd": even_odd, "width": round(max(xs) - min(xs), 3), "height": round(max(ys) - min(ys), 3)}
+
+    return mapped(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey long, operators int, even_odd boolean, width double, height double", make)

@@ -320,3 +320,46 @@ def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield {"page_index": r["page_index"], "text": r["text"]}
 
     return inside(accounts(spark, sf_dir), "page_index int, text string", look)
+
+
+@query(f"""
+WITH {_ORDERS}
+SELECT doc_id, 'o' || lpad(CAST(k AS VARCHAR), 10, '0') AS name, CAST(i AS INTEGER) AS page, true AS pruned FROM o
+""")
+def account_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names looked up one by one in trees whose limits leave the other half unread."""
+
+    def look(doc: Document) -> Any:
+        targets = semantics.Targets(doc)
+        tree = doc.get(doc.catalog()["Names"])["Dests"]
+        leaves = len(doc.get(doc.get(tree)["Kids"]))
+        for key, _ in doc.name_tree(tree):
+            value, read = doc.lookup(tree, key)
+            yield {"name": key.decode(), "page": targets.page(value)[0], "pruned": read <= 1 + leaves}
+
+    return inside(accounts(spark, sf_dir), "name string, page int, pruned boolean", look)
+
+
+@query("""
+SELECT DISTINCT o_custkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN 'inner' ELSE 'outer' END AS title, o_custkey % 2 = 0 AS added, true AS prefix_kept FROM orders
+""")
+def atomic_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes of changes inside others: one that fails leaves what was before it."""
+
+    def look(doc: Document) -> Any:
+        edit, info, odd = writer.Edit(doc), doc.trailer["Info"].num, int(semantics.metadata(doc)["Title"].split()[1]) % 2
+        added = None
+        with edit.scope():
+            edit.put(info, {"Title": b"outer"})
+            try:
+                with edit.scope():
+                    added = edit.add({"Added": True})
+                    edit.put(info, {"Title": b"inner"})
+                    if odd:
+                        raise ValueError
+            except ValueError:
+                pass
+        new = Document(edit.finish())
+        yield {"title": semantics.metadata(new)["Title"], "added": new.get(added) is not None, "prefix_kept": new.data.startswith(doc.data)}
+
+    return inside(accounts(spark, sf_dir), "title string, added boolean, prefix_kept boolean", look)

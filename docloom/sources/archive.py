@@ -433,11 +433,13 @@ class Package:
         for document in self._children(self.sequence(), "DocumentReference"):
             for path in self._children(document, "PageContent"):
                 root = self._xml(path)
-                runs = []
+                runs, shapes = [], []
                 for g in root.iter() if root is not None else ():
+                    if local(g.tag) == "Path" and g.get("Data"):
+                        shapes.append({"data": g.get("Data"), "fill": g.get("Fill"), "stroke": g.get("Stroke"), "thickness": _points(g.get("StrokeThickness")) or 0.75})
                     if local(g.tag) == "Glyphs" and (text := g.get("UnicodeString")):
                         runs.append({"x": _points(g.get("OriginX")), "y": _points(g.get("OriginY")), "size": _points(g.get("FontRenderingEmSize")), "text": text[2:] if text.startswith("{}") else text})
-                yield {"page": number, "part": path, "width": _points(root.get("Width")) if root is not None else None, "height": _points(root.get("Height")) if root is not None else None, "runs": runs}
+                yield {"page": number, "part": path, "width": _points(root.get("Width")) if root is not None else None, "height": _points(root.get("Height")) if root is not None else None, "runs": runs, "shapes": shapes}
                 number += 1
 
     def _children(self, part: str | None, tag: str) -> list[str]:
@@ -503,7 +505,7 @@ TABLES: dict[str, tuple[str, Callable[[Archive], Any]]] = {
     "comic_pages": ("page int, entry string, format string, defect string, length long", comic_pages),
     "chapters": ("seq int, idref string, path string, linear boolean, layout string, text string, viewport struct<width:double,height:double>", lambda a: Book(a).chapters()),
     "navigation": ("depth int, title string, path string, fragment string", lambda a: Book(a).navigation()),
-    "fixed_pages": ("page int, part string, width double, height double, runs array<struct<x:double,y:double,size:double,text:string>>", lambda a: Package(a).pages()),
+    "fixed_pages": ("page int, part string, width double, height double, runs array<struct<x:double,y:double,size:double,text:string>>, shapes array<struct<data:string,fill:string,stroke:string,thickness:double>>", lambda a: Package(a).pages()),
 }
 
 

@@ -403,6 +403,35 @@ class Document:
                 work += reversed(kids)
         return out
 
+    def lookup(self, root: Any, key: bytes | int) -> tuple[Any, int]:
+        """(value, nodes read) of a key of a name tree, or of a number tree; subtrees whose limits leave it out aren't read."""
+        names = "Names" if isinstance(key, bytes) else "Nums"
+        work, seen, read = [root], set(), 0
+        while work:
+            at = work.pop()
+            if isinstance(at, Ref):
+                if at in seen:
+                    continue
+                seen.add(at)
+            node = self.get(at)
+            if not isinstance(node, dict):
+                continue
+            read += 1
+            limits = self.get(node.get("Limits"))
+            if isinstance(limits, list) and len(limits) == 2:
+                low, high = (self.get(v) for v in limits)
+                if isinstance(low, type(key)) and isinstance(high, type(key)) and not low <= key <= high:
+                    continue
+            leaf = self.get(node.get(names))
+            if isinstance(leaf, list):
+                found = next((v for k, v in zip(leaf[::2], leaf[1::2], strict=False) if self.get(k) == key), None)
+                if found is not None:
+                    return found, read
+            kids = self.get(node.get("Kids"))
+            if isinstance(kids, list):
+                work += reversed(kids)
+        return None, read
+
     def text(self, value: Any) -> str | None:
         """A text string; null for anything else."""
         value = self.get(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from typing import Any
@@ -54,6 +55,79 @@ def base_char(encoding: str, code: int) -> str | None:
     return STANDARD.get(code) or (chr(code) if 32 <= code < 127 else None)
 
 
+# Bits of a font descriptor's flags, counted from 0.
+FIXED, SERIF, SYMBOLIC, SCRIPT, ITALIC, BOLD = 0, 1, 2, 3, 6, 18
+
+
+def face_request(name: str, flags: int = 0, weight: float | None = None) -> dict[str, Any]:
+    """What a font asks of whoever looks for a face: family, bold, italic, serif and fixed pitch, by its name and flags."""
+    base = name.split("+", 1)[-1] if re.match(r"[A-Z]{6}\+", name) else name
+    family = re.split(r"[-,]", base, maxsplit=1)[0]
+    style = base[len(family) :].lower()
+    family = re.sub(r"(?:PSMT|MT|PS)$", "", family)
+    return {
+        "family": family,
+        "bold": "bold" in style or "black" in style or "heavy" in style or bool(flags >> BOLD & 1) or (weight or 0) >= 600,
+        "italic": "italic" in style or "oblique" in style or bool(flags >> ITALIC & 1),
+        "serif": bool(flags >> SERIF & 1) or family.startswith(("Times", "Georgia")),
+        "fixed": bool(flags >> FIXED & 1) or family.startswith("Courier"),
+    }
+
+
+# Widths in thousandths of the characters from space to tilde; those of Courier are 600.
+_WIDTHS = {
+    "Helvetica": (
+        "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 "
+        "556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
+    ),
+    "Helvetica-Bold": (
+        "278 333 474 556 556 889 722 238 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 333 333 584 584 584 611 975 722 722 722 722 667 611 778 722 278 556 722 "
+        "611 833 722 778 667 778 722 667 611 722 667 944 667 667 611 333 278 333 584 556 333 556 611 556 611 556 333 611 611 278 278 556 278 889 611 611 611 611 389 556 333 611 556 778 556 556 500 389 280 389 584"
+    ),
+    "Times-Roman": (
+        "250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 500 500 500 500 500 500 500 500 500 278 278 564 564 564 444 921 722 667 667 722 611 556 722 722 333 389 722 "
+        "611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500 333 444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541"
+    ),
+    "Times-Bold": (
+        "250 333 555 500 500 1000 833 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 930 722 667 722 722 667 611 778 778 389 500 778 "
+        "667 944 722 778 611 778 722 556 667 722 722 1000 722 722 667 333 278 333 581 500 333 500 556 444 556 444 333 500 556 278 333 556 278 833 556 500 556 556 444 389 333 556 500 722 500 500 444 394 220 394 520"
+    ),
+    "Times-Italic": (
+        "250 333 420 500 500 833 778 214 333 333 500 675 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 675 675 675 500 920 611 611 667 722 611 611 722 722 333 444 667 "
+        "556 833 667 722 611 722 611 500 556 722 611 833 611 556 556 389 278 389 422 500 333 500 500 444 500 444 278 500 500 278 278 444 278 722 500 500 500 500 389 389 278 500 444 667 444 444 389 400 275 400 541"
+    ),
+}
+
+
+def standard_face(name: str) -> str | None:
+    """The standard face that a font's name stands for; null for other fonts."""
+    asked = face_request(name)
+    family = asked["family"].replace(" ", "")
+    if family in ("Courier", "CourierNew"):
+        return "Courier"
+    if family in ("Helvetica", "Arial"):  # slanted ones are as wide
+        return "Helvetica-Bold" if asked["bold"] else "Helvetica"
+    if family in ("Times", "TimesNewRoman"):
+        return "Times-Bold" if asked["bold"] else "Times-Italic" if asked["italic"] else "Times-Roman"
+    return None
+
+
+@functools.cache
+def standard_widths(face: str) -> dict[str, float]:
+    """Widths by character; letters with accents are as wide as without."""
+    if face == "Courier":
+        return {}
+    return {chr(32 + i): float(w) for i, w in enumerate(_WIDTHS[face].split())}
+
+
+def standard_width(face: str, char: str, default: float) -> float:
+    if face == "Courier":
+        return 600.0
+    table = standard_widths(face)
+    base = unicodedata.normalize("NFD", char)[:1]
+    return table.get(char, table.get(base, default))
+
+
 class CMap:
     """Codespace ranges, codes to CIDs, codes to characters."""
 
@@ -150,6 +224,7 @@ class Font:
             missing = doc.get(descriptor.get("MissingWidth")) if isinstance(descriptor, dict) else None
             self.default = missing if isinstance(missing, (int, float)) else 0 if self.widths else 600 if "Courier" in self.name else 500
             self.encoding, self.differences = self._encoding(get("Encoding"))
+            self.face = standard_face(self.name) if not self.widths and self.kind != "Type3" else None
         matrix = get("FontMatrix")
         self.scale = matrix[0] if self.kind == "Type3" and isinstance(matrix, list) and matrix and isinstance(matrix[0], (int, float)) else 0.001
 
@@ -196,5 +271,8 @@ class Font:
             if not text and not self.cmap:
                 name = self.differences.get(code)
                 text = (glyph_char(name) if name else base_char(self.encoding, code) if self.encoding != "none" else None) or ""
-            out.append((code, n, text, self.widths.get(code if cid is None else cid, self.default) * self.scale))
+            width = self.widths.get(code if cid is None else cid, self.default)
+            if not self.cmap and self.face and text:
+                width = standard_width(self.face, text[0], self.default)
+            out.append((code, n, text, width * self.scale))
         return out

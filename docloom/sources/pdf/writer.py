@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -118,6 +120,52 @@ def update(doc: Document, changed: dict[int, Any]) -> bytes:
     return bytes(out) + _references(where, trailer, len(out), False, last, newest)
 
 
+class Edit:
+    """Changes to a document's objects, kept apart until they are written. Scopes nest, and each is all or nothing."""
+
+    def __init__(self, doc: Document):
+        self.doc = doc
+        self.layers: list[dict[int, Any]] = [{}]
+        self.next = max(doc.xref, default=0) + 1
+
+    def get(self, num: int) -> Any:
+        """An object as changed; null for one that is deleted."""
+        for layer in reversed(self.layers):
+            if num in layer:
+                return layer[num]
+        return self.doc.get(Ref(num))
+
+    def put(self, num: int, value: Any) -> None:
+        self.layers[-1][num] = value
+
+    def add(self, value: Any) -> Ref:
+        self.next += 1
+        self.layers[-1][self.next - 1] = value
+        return Ref(self.next - 1)
+
+    def delete(self, num: int) -> None:
+        self.layers[-1][num] = None
+
+    @contextmanager
+    def scope(self) -> Iterator[Edit]:
+        """What happens inside counts if the scope ends without an error, and otherwise never was."""
+        before = self.next
+        self.layers.append({})
+        try:
+            yield self
+        except BaseException:
+            self.layers.pop()
+            self.next = before
+            raise
+        done = self.layers.pop()
+        self.layers[-1].update(done)
+
+    def finish(self) -> bytes:
+        if len(self.layers) > 1:
+            raise ValueError("a scope is open")
+        return update(self.doc, self.layers[0]) if self.layers[0] else self.doc.data
+
+
 def reachable(doc: Document, start: list[Ref], avoid: set[int] = frozenset()) -> dict[int, Any]:
     """Objects that the start reaches."""
     out: dict[int, Any] = {}
