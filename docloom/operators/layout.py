@@ -115,8 +115,8 @@ def paginate(boxes: Sequence[Box], o: Options) -> list[dict[str, Any]]:
                     take = rest - o.widows
                 if take < o.orphans and (done or take < rest) and y > 0:
                     take = 0
-                if y == 0:
-                    take = max(take, min(rest, max(1, room)))
+                if y == 0 and take < min(o.orphans, room):  # a page's top has no better place to go to
+                    take = min(rest, max(1, room))
             if take <= 0:
                 page, y = page + 1, 0.0
                 continue
