@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,3 +97,9 @@ def format_date(date: Column, index: int) -> Column:
 def format_date_text(text: Column, index: int) -> Column:
     """What isn't a date is left as it is."""
     return _let(parse_date(text), lambda date: F.when(date.isNotNull(), format_date(date, index)).otherwise(text))
+
+
+def format_date_texts(text: Column, indexes: Sequence[int]) -> Column:
+    """STRUCT<f0, ...> of one text in several patterns, which is read once for all of them."""
+    made = lambda date: F.struct(*[F.when(date.isNotNull(), format_date(date, i)).otherwise(text).alias(f"f{i}") for i in indexes])
+    return _let(parse_date(text), made)

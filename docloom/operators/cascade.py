@@ -28,15 +28,19 @@ def specificity(selector: Column) -> Column:
 def matches(nodes: DataFrame, selectors: DataFrame, by: str = "page_id") -> DataFrame:
     """(by, node, sel) where a selector (sel, tag, id, class, parent_tag) fits; null parts fit anything.
 
-    A parent's tag is an equality join of an element with the element that it stands in. Selectors that name a tag meet their
-    elements by it: what is paired are the elements of a tag with the selectors of that tag.
+    A parent's tag is an equality join of an element with the element that it stands in. Selectors meet their elements by their
+    id, else a class, else the tag, else the parent's tag: what is paired are the elements that have it with the selectors
+    that name it. A selector that names nothing fits every element.
     """
     parents = nodes.select(by, F.col("node").alias("parent"), F.col("tag").alias("__above"))
     rows = nodes.join(parents, [by, "parent"], "left")
-    named = rows.join(selectors.where("tag is not null"), "tag")
-    free = rows.crossJoin(selectors.where("tag is null").drop("tag")) if not selectors.where("tag is null").isEmpty() else None
-    out = named if free is None else named.unionByName(free, allowMissingColumns=True)
     classes = F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("k"), value.alias("v"))
+    asked = F.when(F.col("sel_id").isNotNull(), key("id", F.col("sel_id"))).when(F.col("sel_class").isNotNull(), key("class", F.col("sel_class")))
+    asked = asked.when(F.col("__tag").isNotNull(), key("tag", F.col("__tag"))).when(F.col("parent_tag").isNotNull(), key("above", F.col("parent_tag"))).otherwise(key("any", F.lit("")))
+    has = F.concat(F.array(key("id", F.col("attrs")["id"]), key("tag", F.col("tag")), key("above", F.col("__above")), key("any", F.lit(""))), F.transform(F.array_distinct(classes), lambda c: key("class", c)))
+    keyed = rows.select("*", F.explode(has).alias("__key")).where("__key.v is not null")
+    out = keyed.join(selectors.withColumnRenamed("tag", "__tag").withColumn("__key", asked), "__key").where("__tag is null or __tag = tag")
     fits = (F.col("sel_id").isNull() | (F.col("attrs")["id"] == F.col("sel_id"))) & (F.col("sel_class").isNull() | F.array_contains(classes, F.col("sel_class"))) & (F.col("parent_tag").isNull() | (F.col("__above") == F.col("parent_tag")))
     return out.where(fits).select(by, "node", "sel")
 

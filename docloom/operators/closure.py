@@ -22,13 +22,17 @@ def reachable(edges: DataFrame, start: DataFrame, avoid: DataFrame | None = None
         kept = kept.join(avoid.select(F.col("node").alias("__next")), "__next", "left_anti")
         start = start.join(avoid.select("node"), "node", "left_anti")
     seen = frontier = checkpointed(start.select("node").distinct())
+    parts = 1
     for done in itertools.count():
         frontier = checkpointed(frontier.join(kept, "node").select(F.col("__next").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
         if done == rounds:
             raise RuntimeError(f"nodes are left after {rounds} rounds")
-        seen = checkpointed(seen.union(frontier))
+        # A round writes what is new; what was seen is those tables together, made one before they are too many for a plan.
+        seen, parts = seen.union(frontier), parts + 1
+        if parts == 32:
+            seen, parts = checkpointed(seen), 1
 
 
 def follow(links: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:

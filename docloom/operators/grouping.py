@@ -64,18 +64,14 @@ def paginate(text: Column, columns: int, lines: int) -> Column:
     """ARRAY<STRUCT<page, line, text>> of fixed-pitch pages: paragraphs at line feeds, words packed greedily into `columns`.
 
     Words longer than a line stand alone, a blank paragraph is a blank line, and no character but white space at a line's ends
-    is lost. A fold over the words of one text.
+    is lost. One pass of a regular expression over a paragraph takes as much of it as fits, line by line.
     """
-    start = F.expr("cast(array() as array<string>)")
-
-    def add(acc: Column, word: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(word) <= columns)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), word)))).otherwise(F.concat(acc, F.array(word)))
+    longest = f"(?s)(?:([^ ]{{{columns + 1},}})|(.{{1,{columns}}}))(?: |\\z)"
 
     def paragraph(p: Column) -> Column:
-        words = F.filter(F.split(p, r"[ \t\r\f]+"), lambda w: w != "")
-        return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.aggregate(words, start, add))
+        words = F.trim(F.regexp_replace(p, r"[ \t\r\f]+", " "))
+        filled = F.regexp_replace(words, longest, "$1$2\n")
+        return F.when(words == "", F.array(F.lit(""))).otherwise(F.split(F.left(filled, F.length(filled) - 1), "\n", -1))
 
     rows = F.flatten(F.transform(F.split(text, "\n", -1), paragraph))
     return F.transform(rows, lambda r, i: F.struct(F.floor(i / lines).cast("int").alias("page"), (i % lines).cast("int").alias("line"), r.alias("text")))

@@ -65,6 +65,7 @@ def ebooks(docs: DataFrame) -> DataFrame:
     """(doc_id, content): an e-book of each document, a chapter a line, with a navigation document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, files = [], []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 lines, out = (text.as_py() or "").split("\n"), io.BytesIO()
@@ -78,7 +79,13 @@ def ebooks(docs: DataFrame) -> DataFrame:
                     for i, line in enumerate(lines):
                         clean = "".join(c for c in line if c >= " " or c == "\t")
                         z.writestr(f"b/c{i}.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>x</title></head><body><p>{escape(clean)}</p></body></html>')
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["doc_id", "content"])
+                ids.append(doc_id)
+                files.append(out.getvalue())
+                if sum(map(len, files[-8:])) > 1 << 22 or len(files) >= 200:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "content"])
+                    ids, files = [], []
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "content"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content binary")
 

@@ -109,7 +109,9 @@ def af_date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed dates in five of the twelve output forms."""
     k = F.col("o_orderkey")
     s = F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-M-d")).when(k % 3 == 1, F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[dates.format_date_text(s, i).alias(f"f{i}") for i in (0, 1, 4, 7, 11)], dates.format_date_text(F.lit("soon"), 4).alias("other"))
+    forms = (0, 1, 4, 7, 11)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", dates.format_date_texts(F.col("s"), forms).alias("f"))
+    return rows.select("o_orderkey", *[f"f.f{i}" for i in forms], dates.format_date_text(F.lit("soon"), 4).alias("other"))
 
 
 @query("""

@@ -58,9 +58,13 @@ SELECT doc_id, round(sum(least(a, b)) / greatest(sum(a), sum(b)), 9) AS similari
 """)
 def word_similarity_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared words, with repeats, of the document and the benchmark item of one number."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.explode(tx.words(F.col("text"))).alias("word"))
-    return lookup.multiset_similarity(docs, items, ["doc_id"]).withColumn("similarity", F.round("similarity", 9))
+    words = lambda df: df.select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    # Documents without an item have nothing in common with one: their words needn't be taken apart nor counted.
+    alone = docs.join(items, "doc_id", "left_anti").where(F.size(tx.words(F.col("text"))) > 0).select("doc_id", F.lit(0.0).alias("similarity"))
+    both = lookup.multiset_similarity(words(docs.join(items.select("doc_id"), "doc_id", "left_semi")), words(items), ["doc_id"])
+    return both.withColumn("similarity", F.round("similarity", 9)).union(alone)
 
 
 @query(f"""

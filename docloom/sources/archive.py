@@ -522,18 +522,21 @@ def read(files: DataFrame, table: str, id_col: str = "doc_id", content_col: str
     schema = to_arrow_schema(files.sparkSession.createDataFrame([], f"id {id_type}, {columns}").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict[str, Any]] = []
         for batch in batches:
             for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
                 try:
                     a = Archive(content.as_py() or b"")
                     if a.entries:
                         for row in make(a):
                             rows.append({"id": doc_id.as_py(), **row})
+                            if len(rows) >= 5000:
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                                rows = []
                 except (ValueError, TypeError, KeyError, IndexError, AttributeError, struct.error, RecursionError) as e:
                     rows.append({"id": doc_id.as_py(), "error": f"{type(e).__name__}: {e}"[:200]})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = files.select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
     return rows.mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
