@@ -95,6 +95,24 @@ def intervals_hit(points: DataFrame, areas: DataFrame, by: Sequence[str], x0: st
     return swept.where((F.col("__side") == 1) & hit).select("__row.*")
 
 
+def only_in(rows: DataFrame, others: DataFrame, key: Sequence[str] | str) -> DataFrame:
+    """rows whose key others don't have: an anti join, which never pairs rows."""
+    keys = [key] if isinstance(key, str) else [*key]
+    return rows.join(others.select(*keys), keys, "left_anti")
+
+
+def prioritised(rows: DataFrame, tables: Sequence[tuple[DataFrame, str]], value: str) -> DataFrame:
+    """rows with `value` from the first of the tables (each with its key, which rows have too) that has a value for them; null from none.
+
+    A table has a key once at most; each is an equality join, whose way Spark chooses by size.
+    """
+    out, found = rows, []
+    for i, (df, key) in enumerate(tables):
+        found.append(f"__value{i}")
+        out = out.join(df.select(key, F.col(value).alias(found[-1])), key, "left")
+    return out.select(*rows.columns, F.coalesce(*found).alias(value))
+
+
 def nearest(requests: DataFrame, faces: DataFrame, match: Column, distance: Column, key: str, value: str) -> DataFrame:
     """(key, value) of the face with the least distance among those that match; faces are few and their size is Spark's to check."""
     return requests.join(faces, match).groupBy(key).agg(F.min_by(value, distance).alias(value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import geometry, maps
 from docloom.functions import text as tx
-from docloom.operators import editing, files, layout
+from docloom.operators import editing, files, layout, lookup
 from docloom.plans.registry import query, table
 
 
@@ -73,11 +73,10 @@ SELECT num, CASE WHEN listed_off THEN false WHEN listed_on THEN true ELSE base E
 def layer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether layers show: off goes before on, on before the document's base state. Three joins."""
     groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("num"), F.col("s_nationkey").alias("doc"))
-    on = groups.where("num % 3 = 0").select("num", F.lit(True).alias("on"))
-    off = groups.where("num % 4 = 0").select("num", F.lit(True).alias("off"))
-    base = groups.select("doc").distinct().select("doc", (F.col("doc") % 2 == 0).alias("base"))
-    rows = groups.join(off, "num", "left").join(on, "num", "left").join(base, "doc")
-    return rows.select("num", F.when(F.col("off"), False).when(F.col("on"), True).otherwise(F.col("base")).alias("visible"))
+    on = groups.where("num % 3 = 0").select("num", F.lit(True).alias("visible"))
+    off = groups.where("num % 4 = 0").select("num", F.lit(False).alias("visible"))
+    base = groups.select("doc").distinct().select("doc", (F.col("doc") % 2 == 0).alias("visible"))
+    return lookup.prioritised(groups, [(off, "num"), (on, "num"), (base, "doc")], "visible").select("num", "visible")
 
 
 @query("""
@@ -89,10 +88,10 @@ def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.element_at(F.array(*[F.lit(x) for x in ("PNG", "xml", "bin", "Rels")]), F.col("p_size") % 4 + 1)
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("."), end, F.lit("?"), F.col("p_partkey").cast("string")).alias("part"))
     extension = F.lower(F.regexp_extract("part", r"\.([^.?]*)\?", 1))
-    overrides = parts.where("p_partkey % 10 = 0").select("part", F.lit("application/special").alias("override"))
-    defaults = spark.createDataFrame([("png", "image/png"), ("xml", "text/xml"), ("rels", "application/rels")], "extension string, default string")
-    rows = parts.withColumn("extension", extension).join(overrides, "part", "left").join(defaults, "extension", "left")
-    return rows.select("p_partkey", F.coalesce("override", "default").alias("media_type"))
+    overrides = parts.where("p_partkey % 10 = 0").select("part", F.lit("application/special").alias("media_type"))
+    defaults = spark.createDataFrame([("png", "image/png"), ("xml", "text/xml"), ("rels", "application/rels")], "extension string, media_type string")
+    rows = parts.withColumn("extension", extension)
+    return lookup.prioritised(rows, [(overrides, "part"), (defaults, "extension")], "media_type").select("p_partkey", "media_type")
 
 
 @query("""
@@ -142,7 +141,10 @@ def probe_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("corpus", "outcome").agg(F.count("*").alias("files"), F.count_if(files.degraded(F.col("warnings"))).alias("degraded"))
 
 
-@query()
+@query("""
+WITH u AS (SELECT page_id, list_transform(range(1, length(url) + 1), lambda i: ord(substr(url, i, 1))::HUGEINT) AS codes FROM pages)
+SELECT page_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, codes), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT)), 16, '0') AS hash FROM u
+""")
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FNV-1a of page urls (the tests hold it against known values)."""
     return table(spark, sf_dir, "pages").select("page_id", maps.fnv1a(F.col("url")).alias("hash"))

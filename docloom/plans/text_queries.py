@@ -75,7 +75,7 @@ def words_only_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that no benchmark item has, with the number of documents that have them."""
     items = table(spark, sf_dir, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("word"))
-    return docs.groupBy("word").agg(F.count("*").alias("documents")).join(items, "word", "left_anti")
+    return docs.groupBy("word").agg(F.count("*").alias("documents")).transform(lambda rows: lookup.only_in(rows, items, "word"))
 
 
 _RTL = r"\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0700}-\x{074F}\x{0780}-\x{07BF}\x{08A0}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}"
@@ -105,12 +105,12 @@ def collapse_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '[\x00-\x1F\x7F]', ' ', 'g'), ' ') AS head,
+SELECT doc_id, left(trim(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), ' '), 200) AS head,
   left(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[-1], 200) AS last_line FROM documents
 """)
 def one_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of each document in one line, and its last line that isn't blank."""
-    return table(spark, sf_dir, "documents").select("doc_id", tx.one_line(F.substring("text", 1, 200)).alias("head"), tx.last_meaningful_line(F.col("text")).alias("last_line"))
+    """Each whole document in one line, of which 200 characters are shown, and its last line that isn't blank."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.left(tx.one_line(F.col("text")), F.lit(200)).alias("head"), tx.last_meaningful_line(F.col("text")).alias("last_line"))
 
 
 @query(r"""
