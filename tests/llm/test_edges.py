@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
+from tests.llm.test_sketches import components
 
 from docloom.llm import chat_format, mixing, quality_classifier, quality_rules, simhash, url_filter
 from docloom.llm.common import drop_cut, unused
@@ -41,11 +42,10 @@ def test_stages(spark, sf_dir, name):
     if name == "decontamination":
         assert len(rows) == docs.count()
     elif name == "simhash_dedup":
-        prints = [(r.doc_id, brute.simhash(r.text)) for r in docs.collect()]
-        root = brute.union_find(sorted({p for _, p in prints}), [(a, b) for _, a in prints for _, b in prints if a != b and bin(a ^ b).count("1") <= 3])
-        first = {}
-        for i, p in sorted(prints, key=lambda x: (x[0] is not None, x[0] or 0)):
-            first.setdefault(root[p], i)
+        texts = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+        root, first = components([t for _, t in texts]), {}
+        for k, (i, _) in enumerate(texts):
+            first.setdefault(root[k], i)
         assert sorted(ids, key=repr) == sorted(first.values(), key=repr) and None in ids
     elif name == "source_mixing":
         assert {r.source for r in rows} >= {"a", None} and max(ids.count(i) for i in (2, 5)) <= 2
@@ -62,7 +62,7 @@ def test_nothing_is_left_behind(spark, sf_dir):
     assert out.count() > 0
     left = {x.split("-")[1] for x in left_in(spark) - before}
     assert left == {"tokens", "token_output"}  # the files, and the last table
-    for make in (lambda d: simhash.without_copies(d), lambda d: mixing.mixed(d)):
+    for make in (simhash.without_copies, simhash.without_near_copies, mixing.mixed):
         before = left_in(spark)
         got = make(odd_documents(spark))
         got.count()
