@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm import sketches
 from docloom.llm.common import components, cut, scratch, unused
 
 SEED = 42
@@ -145,6 +146,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return keep(rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id"), rows, named)
 
 
+def _signed(n: int) -> int:
+    return n - ((n >> 63) << 64)
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """One row of docs of each component, with all its columns: that of the smallest id (null first), then fingerprint.
 
@@ -152,11 +157,20 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     without, are told apart by their fingerprints.
     """
     with scratch(docs.sparkSession) as keep:
-        return _firsts(docs, id_col, text_col, shingle_words, keep)
+        found = near_duplicates(docs, id_col, text_col, shingle_words)
+        return _firsts(docs, found, lambda raw: _signed(fingerprint(raw, shingle_words)), id_col, text_col, keep)
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The same for documents whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more: see sketches."""
+    with scratch(docs.sparkSession) as keep:
+        found = sketches.near_copies(docs, id_col, text_col, words, similarity)
+        return _firsts(docs, found, lambda raw: sketches.set_id(sketches.shingles(raw, words)), id_col, text_col, keep)
 
 
-def _firsts(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, keep: Callable[..., DataFrame]) -> DataFrame:
-    found = near_duplicates(docs, id_col, text_col, shingle_words).withColumnRenamed(id_col, "id")
+def _firsts(docs: DataFrame, found: DataFrame, number: Callable[[bytes | None], int], id_col: str, text_col: str, keep: Callable[..., DataFrame]) -> DataFrame:
+    """The first row of docs of each root of found (id_col, fp, root, ...); number() gives a text's fp."""
+    found = found.withColumnRenamed(id_col, "id")
     first = cut(found.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.id", "first.fp"), "first")
     shared = cut(found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "shared")
     names = docs.columns
@@ -170,8 +184,8 @@ def _firsts(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, kee
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py(), shingle_words) for x in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, mark])
+            fps = [number(x.as_py()) for x in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*names, mark])
 
     some = some.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])).dropDuplicates([id_col, mark])
     return keep(out.union(some.join(first, some[id_col].eqNullSafe(first["id"]) & (some[mark] == first["fp"]), "left_semi").select(*names)), first, shared)
