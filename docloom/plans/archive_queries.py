@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.fixtures import Row, files_of, gathered, mapped
-from docloom.plans.registry import query, table
+from docloom.plans.registry import query, table, typed
 from docloom.sources import archive, css, images, xml
 
 _CUSTOMERS = """
@@ -171,10 +171,10 @@ def fixed_document(row: Row) -> bytes:
     )
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_CUSTOMERS}
 SELECT doc_id, CAST(i AS INTEGER) AS page, '/D/Pages/' || k || '.fpage' AS part, (800 + k % 10) * 0.75 AS width, 750.0 AS height, 72.0 AS x, (100 + k % 7) * 0.75 AS y, 12.0 AS size, name || '|' || segment AS text FROM c
-""")
+""", width="DOUBLE", height="DOUBLE", x="DOUBLE", y="DOUBLE", size="DOUBLE"))
 def fixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of fixed documents, in points, with their runs."""
     rows = archive.read(files_of(_customers(spark, sf_dir), fixed_document), "fixed_pages")
@@ -182,11 +182,11 @@ def fixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", "part", "width", "height", first["x"].alias("x"), first["y"].alias("y"), first["size"].alias("size"), F.array_join(F.transform("runs", lambda r: r["text"]), "|").alias("text"))
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_CUSTOMERS}, p AS (SELECT *, i = 0 AS first FROM c)
 SELECT doc_id, '/D/Pages/' || k || '.fpage' AS part, CASE WHEN first THEN 'application/special' ELSE 'application/vnd.ms-package.xps-fixedpage+xml' END AS media_type,
   'application/vnd.openxmlformats-package.relationships+xml' AS of_relations, NULL AS of_nothing, 'http://x.test/' || doc_id AS external FROM p
-""")
+""", of_nothing="VARCHAR"))
 def package_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of parts, by name before extension, and relationships to the outside."""
 

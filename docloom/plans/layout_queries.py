@@ -18,7 +18,7 @@ from docloom.functions import text as tx
 from docloom.operators import grouping, layout
 from docloom.plans import archive_queries
 from docloom.plans.fixtures import Row, files_of, gathered, inside, mapped
-from docloom.plans.registry import query, table
+from docloom.plans.registry import query, table, typed
 from docloom.sources import raster, synthesis, truetype
 from docloom.sources.pdf import semantics
 from docloom.sources.pdf import tables as pdf
@@ -35,10 +35,10 @@ l AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_quantity AS q, l_partkey
 """
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_LINES}, s AS (SELECT *, sum(q) OVER d AS basis, sum(1 + k % 3) OVER d AS growth FROM l WINDOW d AS (PARTITION BY doc_id))
 SELECT doc_id, i AS item, round(q + (1000 - basis) * (1 + k % 3) / growth, 6) AS grown, round(q / 2, 6) AS shrunk, CASE WHEN n = 1 THEN 20.0 WHEN i = 0 THEN 20.0 ELSE round((1000.0 - 20) / (n - 1), 6) END AS capped FROM s
-""")
+""", item="INTEGER"))
 def flex_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flexible boxes that grow by their shares, shrink by their sizes, and freeze at a bound (survey M30, L2)."""
 
@@ -124,10 +124,10 @@ def collapsed_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(_lines(spark, sf_dir), "doc_id long, width double, style string, source long", make)
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_LINES}
 SELECT doc_id, i AS item, CASE WHEN i % 3 = 2 THEN 70.0 ELSE 30.0 * (i % 3) END AS x, CAST(20 * (i // 3) AS DOUBLE) AS y, CAST(20 * ((n + 2) // 3) AS DOUBLE) AS cleared FROM l
-""")
+""", x="DOUBLE"))
 def float_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that float to either side, and where what clears them goes on (L4)."""
 
@@ -140,11 +140,11 @@ def float_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(_lines(spark, sf_dir), "doc_id long, item long, x double, y double, cleared double", make)
 
 
-@query("""
+@query(typed("""
 WITH w AS (SELECT p_partkey, p_name || ' ' || p_type || chr(10) || p_brand AS text FROM part)
 SELECT p_partkey, i AS place, i = length(text) OR text[i:i] = chr(10) AS mandatory FROM (SELECT p_partkey, text, unnest(range(1, length(text) + 1)) AS i FROM w)
 WHERE i = length(text) OR text[i:i] = chr(10) OR (text[i:i] = ' ' AND text[i + 1:i + 1] <> ' ')
-""")
+""", place="INTEGER"))
 def line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where lines of plain words may end and where they have to."""
 
@@ -285,11 +285,11 @@ def book_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "title", F.col("origins")[F.col("page")]["source"].alias("source"))
 
 
-@query("""
+@query(typed("""
 WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS k, c_name AS name, c_mktsegment AS segment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS page FROM customer)
 SELECT doc_id, CAST(page AS INTEGER) AS page_index, line, text, y FROM (
   SELECT doc_id, page, 0 AS line, name AS text, 750 - (100 + k % 7) * 0.75 AS y FROM c UNION ALL SELECT doc_id, page, 1, segment, 600.0 FROM c)
-""")
+""", y="DOUBLE"))
 def fixed_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed documents as PDF files, their runs where they were."""
     files = synthesis.to_pdf(files_of(archive_queries._customers(spark, sf_dir), archive_queries.fixed_document))
@@ -297,9 +297,9 @@ def fixed_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page_index", "line", "text", F.round("y0", 4).alias("y"))
 
 
-@query("""
+@query(typed("""
 SELECT CAST(substr(p_brand, 7) AS BIGINT) AS doc_id, 'comic' AS kind, count(*) AS pages, 4.0 AS width, 2.0 AS height FROM part GROUP BY ALL
-""")
+""", width="DOUBLE", height="DOUBLE"))
 def comics_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comics as PDF files, pages of their pictures' sizes."""
     import numpy as np
@@ -366,9 +366,9 @@ def _program(width: int) -> bytes:
     return truetype.assemble({"head": bytes(head), "glyf": glyf, "loca": struct.pack(">5I", *loca), "cmap": cmap, "hhea": struct.pack(">I hh 26x H", 0x10000, 800, -200, 2), "hmtx": struct.pack(">HhHh", 250, 0, 600, 0)})
 
 
-@query("""
+@query(typed("""
 SELECT p_partkey AS doc_id, 'ABC' AS text, 3 AS kept, 600.0 AS width, 0 AS missing, true AS smaller, CAST(ceil((p_size * 10 + 100) / 50.0) * ceil((p_size * 10 + 100) / 50.0) AS INTEGER) // 1000 AS dark FROM part
-""")
+""", width="DOUBLE"))
 def font_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts embedded whole and as subsets with the parts that glyphs are made of, shown and read back."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.fixtures import Row, files_of, gathered, inside
-from docloom.plans.registry import query, table
+from docloom.plans.registry import query, table, typed
 from docloom.sources.pdf import semantics, writer
 from docloom.sources.pdf import tables as pdf
 from docloom.sources.pdf.document import Document
@@ -104,18 +104,18 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(gathered(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), account)
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_ORDERS}, m AS (SELECT *, CASE WHEN k % 5 = 0 THEN 500.0 ELSE 612.0 END AS w, CASE WHEN k % 5 = 0 THEN 400.0 ELSE 792.0 END AS h FROM o)
 SELECT doc_id, CAST(i AS INTEGER) AS page_index, w AS width, h AS height, CASE WHEN k % 3 = 0 THEN 50.0 ELSE 0 END AS crop_x0, CASE WHEN k % 3 = 0 THEN least(700.0, w) ELSE w END AS crop_x1,
   CASE WHEN k % 3 = 0 THEN 300.0 ELSE h END AS crop_y1, CAST(CASE WHEN k % 7 = 0 OR (i // 4) % 2 = 1 THEN 90 ELSE 0 END AS INTEGER) AS rotation FROM m
-""")
+""", width="DOUBLE", height="DOUBLE", crop_x0="DOUBLE", crop_x1="DOUBLE", crop_y1="DOUBLE"))
 def account_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages depth first, with boxes and turns that they inherit (survey P1, P3 to P6, U5, O6)."""
     rows = pdf.read(accounts(spark, sf_dir), "pages")
     return rows.select("doc_id", "page_index", F.col("media_box.x1").alias("width"), F.col("media_box.y1").alias("height"), F.col("crop_box.x0").alias("crop_x0"), F.col("crop_box.x1").alias("crop_x1"), F.col("crop_box.y1").alias("crop_y1"), "rotation")
 
 
-@query("SELECT o_custkey AS doc_id, true AS opened, false AS repaired, CAST(count(*) AS INTEGER) AS n_pages, o_custkey % 10 = 0 AS miscounted, 1 AS revisions, 'Account ' || o_custkey AS title, '' AS author, NULL AS subject, 'layers' AS capabilities FROM orders GROUP BY o_custkey")
+@query(typed("SELECT o_custkey AS doc_id, true AS opened, false AS repaired, CAST(count(*) AS INTEGER) AS n_pages, o_custkey % 10 = 0 AS miscounted, 1 AS revisions, 'Account ' || o_custkey AS title, '' AS author, NULL AS subject, 'layers' AS capabilities FROM orders GROUP BY o_custkey", subject="VARCHAR"))
 def account_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What files say of themselves: pages walked against pages told, metadata with absent and empty entries."""
     rows = pdf.read(accounts(spark, sf_dir), "documents")
@@ -145,7 +145,7 @@ def account_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.read(accounts(spark, sf_dir), "links").drop("error")
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_ORDERS}, f AS (
   SELECT *, k % 5 = 2 AS in_group, row_number() OVER (PARTITION BY doc_id ORDER BY (k % 5 = 2)::INT, i) - 1 AS seq, row_number() OVER (PARTITION BY doc_id, k % 5 ORDER BY i DESC) - 1 AS later FROM o)
 SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN in_group THEN 'g.' ELSE '' END || 'f' || k AS name,
@@ -153,7 +153,7 @@ SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN in_group THEN 'g.' ELSE ''
   CASE k % 5 WHEN 0 THEN priority WHEN 1 THEN 'Off' WHEN 2 THEN 'yes' WHEN 3 THEN priority END AS value, CASE WHEN k % 5 = 4 THEN priority || '|b' END AS many,
   CASE WHEN k % 5 = 0 THEN 'none' END AS "default", CASE k % 5 WHEN 2 THEN 32768 WHEN 3 THEN 131072 ELSE 0 END AS flags,
   CASE k % 5 WHEN 3 THEN 'Show a|b' WHEN 4 THEN priority || '|b' ELSE '' END AS options, CASE WHEN k % 5 = 0 THEN 20 END AS max_len, CAST(CASE WHEN k % 5 = 0 THEN later END AS INTEGER) AS calculated FROM f
-""")
+""", flags="BIGINT"))
 def account_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terminal fields with dotted names and what they inherit."""
     rows = pdf.read(accounts(spark, sf_dir), "fields")
@@ -170,10 +170,10 @@ def account_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.read(accounts(spark, sf_dir), "scripts").drop("error")
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_ORDERS}
 SELECT doc_id, count(*) FILTER (k % 5 = 0) AS field_scripts, 1 AS document_scripts, 1 AS catalog_scripts FROM o GROUP BY doc_id
-""")
+""", document_scripts="BIGINT", catalog_scripts="BIGINT"))
 def account_script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many scripts stand where."""
     rows = pdf.read(accounts(spark, sf_dir), "scripts")
@@ -217,10 +217,10 @@ def account_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside(accounts(spark, sf_dir), "name string, visible boolean, all_on boolean, any_on boolean, any_off boolean, all_off boolean, expression boolean", look)
 
 
-@query("""
+@query(typed("""
 WITH d AS (SELECT DISTINCT o_custkey AS doc_id FROM orders)
 SELECT doc_id, 0 AS page, 'r' AS style, '' AS prefix, 1 AS start FROM d UNION ALL SELECT doc_id, 2, 'D', 'o-', 5 FROM d
-""")
+""", page="BIGINT", start="BIGINT"))
 def account_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of page labels from a number tree."""
     return pdf.read(accounts(spark, sf_dir), "label_ranges").drop("error")
@@ -248,18 +248,18 @@ def account_xmp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside(accounts(spark, sf_dir), "xmp string", lambda doc: [{"xmp": (semantics.xmp(doc) or b"").decode()}])
 
 
-@query(f"""
+@query(typed(f"""
 WITH {_ORDERS}
 SELECT doc_id, CAST(i AS INTEGER) AS page_index, 0 AS line, 'Order ' || k AS text, 72.0 AS x0, 12.0 AS size FROM o UNION ALL SELECT doc_id, CAST(i AS INTEGER), 1, priority, 72.0, 12.0 FROM o
-""")
+""", x0="DOUBLE", size="DOUBLE"))
 def account_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of pages whose contents come in parts."""
     return pdf.read(accounts(spark, sf_dir), "text_lines").select("doc_id", "page_index", "line", "text", F.round("x0", 6).alias("x0"), F.round("size", 6).alias("size"))
 
 
-@query("""
+@query(typed("""
 SELECT o_custkey AS doc_id, true AS opened, o_custkey % 4 IN (2, 3) AS repaired, CAST(count(*) AS INTEGER) AS n_pages, sum(length('Order ' || o_orderkey) + length(o_orderpriority)) AS chars FROM orders GROUP BY o_custkey
-""")
+""", chars="BIGINT"))
 def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with junk before the header, without an end and without a reference table, read all the same."""
 

@@ -24,5 +24,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def typed(sql: str, **types: str) -> str:
+    """SQL whose columns of these names have these types."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

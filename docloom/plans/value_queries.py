@@ -12,7 +12,7 @@ from docloom.functions import colour, maps, scripts
 from docloom.operators import closure, editing, files, layout
 from docloom.plans import archive_queries
 from docloom.plans.fixtures import Row, files_of, gathered, mapped
-from docloom.plans.registry import query, table
+from docloom.plans.registry import query, table, typed
 from docloom.sources import open as any_file
 from docloom.sources.pdf import tables as pdf
 from docloom.sources.pdf import writer
@@ -20,9 +20,9 @@ from docloom.sources.pdf.objects import Name, Ref
 from docloom.sources.pdf.writer import Builder
 
 
-@query("""
+@query(typed("""
 SELECT p_partkey, p_size AS size, CAST(p_retailprice AS DOUBLE) AS price, NULL AS no_number, true AS has, 'brand,new,price,size' AS keys, 'x' AS replaced, 2 AS left_over FROM part
-""")
+""", no_number="BIGINT"))
 def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries read by kind, put, replaced and taken out (survey Y1 to Y4)."""
     m = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("price"), F.col("p_retailprice").cast("string"), F.lit("brand"), F.col("p_brand"))
