@@ -36,9 +36,14 @@ def mapped(rows: DataFrame, schema: str, make: Callable[[Row], Iterable[Row]], m
     return rows.mapInArrow(run, schema)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small rows that much is done with, dealt out: a small table is one file, and would be one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def files_of(rows: DataFrame, make: Callable[[Row], bytes]) -> DataFrame:
     """(doc_id, content): a file of each row."""
-    return mapped(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id long, content binary", lambda r: [{"doc_id": r["doc_id"], "content": make(r)}], most=50)
+    return mapped(spread(rows.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id long, content binary", lambda r: [{"doc_id": r["doc_id"], "content": make(r)}], most=50)
 
 
 def inside(files: DataFrame, schema: str, look: Callable[[Document], Iterable[Row]]) -> DataFrame:
