@@ -50,6 +50,10 @@ _SHIFT = [0, 5, 10, 15, 4, 9, 14, 3, 8, 13, 2, 7, 12, 1, 6, 11]
 _UNSHIFT = [_SHIFT.index(i) for i in range(16)]
 
 
+#: Of each byte through the box, its column after mixing, in each of four rows.
+_ROUND = [[int.from_bytes(bytes(m[(i - row) % 4] for i in range(4)), "big") for s in SBOX for m in [(_MUL[2][s], s, s, _MUL[3][s])]] for row in range(4)]
+
+
 class AES:
     def __init__(self, key: bytes):
         n, words, power = len(key) // 4, [key[i : i + 4] for i in range(0, len(key), 4)], 1
@@ -63,17 +67,23 @@ class AES:
                 w = w.translate(SBOX)
             words.append(bytes(a ^ b for a, b in zip(words[i - n], w, strict=True)))
         self.keys = [b"".join(words[4 * r : 4 * r + 4]) for r in range(rounds + 1)]
+        self.words = [int.from_bytes(w, "big") for w in words]
 
     def encrypt(self, block: bytes) -> bytes:
-        s = bytes(a ^ b for a, b in zip(block, self.keys[0], strict=True))
-        for r, key in enumerate(self.keys[1:], 1):
-            s = s.translate(SBOX)
-            s = bytes([s[i] for i in _SHIFT])
-            if r < len(self.keys) - 1:
-                two, three = _MUL[2], _MUL[3]
-                s = bytes(x for c in range(0, 16, 4) for x in (two[s[c]] ^ three[s[c + 1]] ^ s[c + 2] ^ s[c + 3], s[c] ^ two[s[c + 1]] ^ three[s[c + 2]] ^ s[c + 3], s[c] ^ s[c + 1] ^ two[s[c + 2]] ^ three[s[c + 3]], three[s[c]] ^ s[c + 1] ^ s[c + 2] ^ two[s[c + 3]]))
-            s = bytes(a ^ b for a, b in zip(s, key, strict=True))
-        return s
+        """A round takes four lookups a column: a table has the box and the mixing of a row in one."""
+        t0, t1, t2, t3 = _ROUND
+        k = self.words
+        a, b, c, d = (int.from_bytes(block[i : i + 4], "big") ^ k[i >> 2] for i in (0, 4, 8, 12))
+        for r in range(4, len(k) - 4, 4):
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ k[r],
+                t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ k[r + 1],
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ k[r + 2],
+                t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ k[r + 3],
+            )
+        s = SBOX
+        last = bytes((s[a >> 24], s[b >> 16 & 255], s[c >> 8 & 255], s[d & 255], s[b >> 24], s[c >> 16 & 255], s[d >> 8 & 255], s[a & 255], s[c >> 24], s[d >> 16 & 255], s[a >> 8 & 255], s[b & 255], s[d >> 24], s[a >> 16 & 255], s[b >> 8 & 255], s[c & 255]))
+        return (int.from_bytes(last, "big") ^ int.from_bytes(self.keys[-1], "big")).to_bytes(16, "big")
 
     def decrypt(self, block: bytes) -> bytes:
         m9, m11, m13, m14 = (_MUL[k] for k in (9, 11, 13, 14))
@@ -89,7 +99,7 @@ class AES:
 def cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
     aes, out = AES(key), bytearray()
     for i in range(0, len(data), 16):
-        iv = aes.encrypt(bytes(a ^ b for a, b in zip(data[i : i + 16], iv, strict=True)))
+        iv = aes.encrypt((int.from_bytes(data[i : i + 16], "big") ^ int.from_bytes(iv, "big")).to_bytes(16, "big"))
         out += iv
     return bytes(out)
 
