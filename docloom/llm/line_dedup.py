@@ -32,8 +32,6 @@ _PAIRS_ROWS = 50_000
 _SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
 #: Up to so many characters go by points.
 _POINT_CHARS = 12
-#: Entries that a task holds of one bucket before it gives up those of crowded keys.
-_HELD = 2_000_000
 #: What stands for a segment taken out on a level: lone surrogates, which no line has.
 _MARK = 0xD800
 
@@ -367,8 +365,8 @@ def _without_crowds(entries: np.ndarray, crowd: int) -> tuple[np.ndarray, np.nda
     return entries[~many], entries[many]
 
 
-def _meet(blobs: DataFrame, parts: int, buckets: int, tau: int, crowd: int) -> DataFrame:
-    """The equality join of all entries, bucket by bucket: a task holds one bucket, and no crowded key's entries for long."""
+def _meet(blobs: DataFrame, parts: int, buckets: int, tau: int, crowd: int, most: int) -> DataFrame:
+    """The equality join of all entries, bucket by bucket: a task holds one bucket, and beyond `most` entries gives up those of crowded keys."""
 
     def bucket_of(at: int, blobs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         held, size, hot = [], 0, np.empty(0, np.int64)
@@ -383,7 +381,7 @@ def _meet(blobs: DataFrame, parts: int, buckets: int, tau: int, crowd: int) -> D
                     entries = entries[~known]
             held.append(entries)
             size += len(entries)
-            if size < _HELD:
+            if size < most:
                 continue
             if at >= buckets:
                 whole = np.concatenate(held)
@@ -414,7 +412,7 @@ def _meet(blobs: DataFrame, parts: int, buckets: int, tau: int, crowd: int) -> D
     return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "crowded boolean, a long, b long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, chars_per_edit: int = 5, crowd: int = 256) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, chars_per_edit: int = 5, crowd: int = 256, held: int = 2_000_000) -> DataFrame:
     """(id_col, line_no, class_id, class_line_no, kept): a row for each line with a word of each row of docs.
 
     line_no counts all lines of the text from 0. Lines are of one class if links connect them: equal lines, and lines with an
@@ -422,7 +420,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     of 0.8 or more is asked of all lines, and those of fewer than 5 have to be equal. (class_id, class_line_no) is the first line
     of the class by id and number, and kept marks that line. Null texts have no lines; null ids come first; rows of docs that
     repeat give rows each, of which all with the first id and number are kept; other columns are ignored; an empty table gives an
-    empty result. Lines of any length are taken whole. The result reads two tables in the shared folder: drop_cut() deletes them.
+    empty result. Lines of any length are taken whole. `crowd` and `held` (entries of a bucket that a task keeps before it gives up
+    those of crowded keys) choose the way, not the result. The result reads two tables in the shared folder: drop_cut() deletes them.
     """
     if tau not in (1, 2) or chars_per_edit < 3:
         raise ValueError("tau is 1 or 2, chars_per_edit 3 or more")
@@ -531,7 +530,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
         # A line's entries take under a kilobyte, so a task gets 64 MB or so, however many lines there are.
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 65536)
         buckets = 8 * parts
-        met = cut(_meet(rows.select("text").mapInArrow(sign, "bucket long, blob binary"), parts, buckets, tau, crowd), "met")
+        met = cut(_meet(rows.select("text").mapInArrow(sign, "bucket long, blob binary"), parts, buckets, tau, crowd, held), "met")
         texts = rows.select("text").mapInArrow(find_texts, "short long, line string")
         every, level, state = met.where("not crowded").select("a", "b"), 0, None
         while not met.where("crowded").isEmpty():
@@ -548,7 +547,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
             several = crowded_keys(groups, "prefix", "n", total)
             state = join_once(down, groups.select("prefix", "least"), "prefix", several).where("least is not null")
             state = cut(state.select("short", "prefix", "role", "rest", "size", "least").distinct(), "state")
-            met = cut(_meet(state.mapInArrow(sign_rest, "bucket long, blob binary"), parts, buckets, tau, crowd), "met")
+            met = cut(_meet(state.mapInArrow(sign_rest, "bucket long, blob binary"), parts, buckets, tau, crowd, held), "met")
             every = every.union(met.where("not crowded").select("a", "b"))
         every = cut(every.distinct(), "pairs")
         # A merge join at every size, so that small tables show what large ones cost.

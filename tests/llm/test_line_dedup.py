@@ -70,15 +70,15 @@ def classes(rows, tau, per=5):
     return sorted([(i, k, *first[root[x]], (i, k) == first[root[x]]) for i, k, x in lines], key=repr)
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_against_all_pairs(spark, crowd):
-    """With crowd 1 nearly every key goes down the levels."""
+@pytest.mark.parametrize(("crowd", "held"), [(64, 2_000_000), (1, 2_000_000), (4, 50)])
+def test_against_all_pairs(spark, crowd, held):
+    """With crowd 1 nearly every key goes down the levels; with 50 entries held, tasks give up crowded keys again and again."""
     r = random.Random(12)
     base = [brute.prose(i, r.randrange(2, 9), 20) for i in range(25)] + ["tiny", "tinx", "title", "tidle", "a b", "a c", "nineabcde", "nineabxyz", "elevenchars", "elev chars"]
     rows = [(i if i % 40 else None, "\n".join(changed(r, r.choice(base), r.choice([0, 0, 1, 2, 3])) if r.random() < 0.8 else r.choice(["", "  ", "\t"]) for _ in range(5))) for i in range(80)]
     rows += [(200, None), (201, ""), (3, rows[3][1])]
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, kept int").repartition(4)
-    have = sorted([tuple(x) for x in ld.dedup(docs, crowd=crowd).collect()], key=repr)
+    have = sorted([tuple(x) for x in ld.dedup(docs, crowd=crowd, held=held).collect()], key=repr)
     assert have == classes(rows, 2)
 
 
@@ -88,7 +88,7 @@ def test_crowds(spark, tau):
     stem = brute.prose(13, 12)
     rows = [(i, f"{stem} {i * 37:05d} tail of the line{'s' * (i % 3 == 0)}") for i in range(120)] + [(900 + i, f"{i:03d} {i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    have = sorted([tuple(x) for x in ld.dedup(docs, crowd=2, tau=tau).collect()], key=repr)
+    have = sorted([tuple(x) for x in ld.dedup(docs, crowd=2, tau=tau, held=2000).collect()], key=repr)
     assert have == classes(rows, tau)
 
 
