@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.plans.fixtures import Row, files_of, gathered, inside
 from docloom.plans.registry import query, table, typed
-from docloom.sources.pdf import semantics, writer
+from docloom.sources.pdf import linear, semantics, writer
 from docloom.sources.pdf import tables as pdf
 from docloom.sources.pdf.document import Document
 from docloom.sources.pdf.objects import Name, Ref, Stream
@@ -363,3 +363,20 @@ def atomic_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         yield {"title": semantics.metadata(new)["Title"], "added": new.get(added) is not None, "prefix_kept": new.data.startswith(doc.data)}
 
     return inside(accounts(spark, sf_dir), "title string, added boolean, prefix_kept boolean", look)
+
+
+@query(f"""
+WITH {_ORDERS}
+SELECT doc_id, CAST(i AS INTEGER) AS page_index, 'Order ' || k AS text, true AS linearized, false AS repaired, true AS first_page_first FROM o
+""")
+def linearized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written with their first page first, and read back (K3, K5)."""
+
+    def look(doc: Document) -> Any:
+        new = Document(linear.linearize(doc) or b"")
+        order = [new.xref[ref.num].offset for ref, _ in new.pages()]
+        for r in pdf.TABLES["text_lines"][1](new):
+            if r["line"] == 0:
+                yield {"page_index": r["page_index"], "text": r["text"], "linearized": linear.is_linearized(new), "repaired": new.repaired, "first_page_first": order == sorted(order)}
+
+    return inside(accounts(spark, sf_dir), "page_index int, text string, linearized boolean, repaired boolean, first_page_first boolean", look)
