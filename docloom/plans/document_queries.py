@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry, maps
 from docloom.functions import text as tx
 from docloom.operators import editing, files, layout, lookup
+from docloom.plans.fixtures import spread
 from docloom.plans.registry import query, table
 
 
@@ -153,5 +154,5 @@ def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, CAST(sum(length(regexp_replace(text, '[ \t\n\r\f]', '', 'g'))) AS BIGINT) AS chars FROM documents GROUP BY doc_id HAVING sum(length(regexp_replace(text, '[ \t\n\r\f]', '', 'g'))) > 0")
 def layout_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of each document's runs after line breaking and pagination."""
-    runs = layout.lay_out(table(spark, sf_dir, "documents")).where("not generated")
+    runs = layout.lay_out(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where("not generated")
     return runs.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"[ \t\n\r\f]", ""))).alias("chars"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import programs, scripts
 from docloom.operators import grouping
+from docloom.plans.fixtures import spread
 from docloom.plans.registry import query, table
 from docloom.sources import archive
 from docloom.sources.pdf import tables as pdf
@@ -40,7 +41,7 @@ def pdf_files(pages: DataFrame) -> DataFrame:
 
 
 def _documents_as_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pdf_files(table(spark, sf_dir, "documents").select("doc_id", grouping.paginate(F.col("text"), 90, 50).alias("lines")))
+    return pdf_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", grouping.paginate(F.col("text"), 90, 50).alias("lines")))
 
 
 @query(f"SELECT doc_id, length({_INK}) AS chars, md5({_INK}) AS digest FROM documents")
@@ -96,7 +97,7 @@ SELECT doc_id, count(*) AS chapters, CAST(sum(length(line)) AS BIGINT) AS chars
 """)
 def ebook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters and characters of each document, read back from an e-book of it."""
-    chapters = archive.read(ebooks(table(spark, sf_dir, "documents")), "chapters")
+    chapters = archive.read(ebooks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "chapters")
     return chapters.groupBy("doc_id").agg(F.count("*").alias("chapters"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -105,7 +106,7 @@ SELECT doc_id, len(string_split(text, chr(10))) + 4 AS entries, 'epub' AS kind F
 """)
 def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What e-books of the documents hold."""
-    rows = archive.read(ebooks(table(spark, sf_dir, "documents")), "archives")
+    rows = archive.read(ebooks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "archives")
     return rows.select("doc_id", F.col("entries").cast("long").alias("entries"), "kind")
 
 
