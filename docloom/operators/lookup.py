@@ -79,20 +79,24 @@ def range_lookup(rows: DataFrame, code: str, ranges: DataFrame, lo: str = "lo",
 
 
 def intervals_hit(points: DataFrame, areas: DataFrame, by: Sequence[str], x0: str, x1: str) -> DataFrame:
-    """points whose span [x0, x1) overlaps an area's [a0, a1) of the same `by`.
+    """points whose span [x0, x1) overlaps an area's [a0, a1) of the same `by`: a0 < x1 and x0 < a1.
 
     Areas are swept with the points in order of their starts: a span overlaps one if it starts before the greatest end so far,
-    or ends after the next start. Nothing is paired.
+    or ends after the next start. Nothing is paired. An empty span is hit inside an area only, not where that starts. A null in
+    `by` equals nothing.
     """
     cols = points.columns
-    a = points.select(*by, F.col(x0).alias("__x"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__end"), F.struct(*cols).alias("__row"))
-    b = areas.select(*by, F.col("a0").cast(points.schema[x0].dataType).alias("__x"), F.lit(0).alias("__side"), F.col("a1").cast("double").alias("__end"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
+    known = lambda df: df.dropna(subset=[*by]) if by else df
+    # An empty span comes before the areas that start where it stands.
+    side = F.when(F.col(x0) == F.col(x1), -1).otherwise(1)
+    a = known(points).select(*by, F.col(x0).alias("__x"), side.alias("__side"), F.lit(None).cast("double").alias("__end"), F.struct(*cols).alias("__row"))
+    b = known(areas).select(*by, F.col("a0").cast(points.schema[x0].dataType).alias("__x"), F.lit(0).alias("__side"), F.col("a1").cast("double").alias("__end"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
     order = Window.partitionBy(*by).orderBy("__x", "__side")
     # The next start, as the last one of the rows in reverse: frames that only grow cost one pass.
     back = Window.partitionBy(*by).orderBy(F.col("__x").desc(), F.col("__side").desc()).rowsBetween(Window.unboundedPreceding, -1)
     swept = a.unionByName(b).withColumns({"__reach": F.max("__end").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.last(F.when(F.col("__side") == 0, F.col("__x")), True).over(back)})
     hit = (F.col("__reach") > F.col("__x")) | (F.col("__next") < F.col("__row")[x1])
-    return swept.where((F.col("__side") == 1) & hit).select("__row.*")
+    return swept.where((F.col("__side") != 0) & hit).select("__row.*")
 
 
 def only_in(rows: DataFrame, others: DataFrame, key: Sequence[str] | str) -> DataFrame:

@@ -31,6 +31,28 @@ def test_ranges_and_intervals(spark):
     assert {x.n for x in hit.collect()} == {n for d, x0, x1, n in spans if any(d == e and a0 < x1 and x0 < a1 for e, a0, a1 in areas)}
 
 
+def test_empty_spans_and_null_keys_of_intervals(spark):
+    spans = [(d, float(x), float(x + n), 10 * x + n) for d in ("a", None) for x in range(12) for n in (0, 1, 3)]
+    areas = [("a", 4.0, 7.0), ("a", 9.0, 9.0), ("a", 10.0, 11.0), (None, 0.0, 9.0)]
+    hit = lookup.intervals_hit(spark.createDataFrame(spans, "doc string, x0 double, x1 double, n int"), spark.createDataFrame(areas, "doc string, a0 double, a1 double"), ["doc"], "x0", "x1")
+    assert sorted(x.n for x in hit.collect()) == sorted(n for d, x0, x1, n in spans if d and any(d == e and a0 < x1 and x0 < a1 for e, a0, a1 in areas))
+
+
+def test_redacted_spans_of_odd_documents(spark, tmp_path):
+    """Empty texts, empty words where an area starts, and documents without a number, as the SQL has them."""
+    import duckdb
+
+    from docloom import plans
+
+    texts = ["", " ", "a b", "one  two  three   ", "ab cd  ef " * 30, "x" * 9 + " " * 2 + "y" * 9, None]
+    rows = [(i if i != 2 else None, t, len(t) if t is not None else None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(plans.ORACLES["redact_spans"]).fetchall())
+    assert sorted(tuple(r) for r in plans.QUERIES["redact_spans"](spark, str(tmp_path)).collect()) == want
+
+
 def test_overlay_and_newest(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     changes = spark.createDataFrame([(2, "B", False), (3, None, True), (4, "d", False), (9, None, True)], "k int, v string, deleted boolean")
