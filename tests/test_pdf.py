@@ -249,3 +249,62 @@ def test_import_page():
             assert to == {n: [names.index("a0"), names.index("a1")] for n in names if n != "b1"} | {"b1": [None, index]}
             assert [(x["title"], x["page"]) for x in semantics.outline(new)] == [("a last", names.index("a2"))] and semantics.metadata(new)["Title"] == "a"
         assert import_page(doc, source, 3, 0) is None and import_page(doc, source, 0, 4) is None and import_page(doc, source, -1, 0) is None
+
+
+def test_common_tokens_are_read_as_the_long_way_does(monkeypatch):
+    """Any bytes give the same objects, positions and warnings whether or not whole tokens are matched first."""
+    import random
+    import re
+
+    from docloom.sources.pdf import objects
+
+    def read(data, refs):
+        p, out = objects.Parser(data), []
+        while p.pos < len(data) and len(out) < 50:
+            before = p.pos
+            item = p.parse(refs=refs)
+            out.append((type(item), repr(item), p.pos))
+            if p.pos == before:
+                break
+        return out, p.warnings.found
+
+    r = random.Random(7)
+    bits = [b"/Name", b"/A#42", b"/", b"12", b"-3", b"+4", b"0", b"4294967295", b"4294967296", b"99999999999999999999", b"1.5", b"-.5", b"-0.0", b"1e5", b"12 0 R", b"4000000000 0 R", b"7 123456 R", b"5 0 Rx", b"(a)", b"(a(b)\\n)", b"(a\r\nb)", b"(", b"<</K 1", b"<<", b">>", b"[", b"]", b"<41>", b"true", b"null", b"endobj", b"BT", b"%c\n", b" ", b"\n", b"\0", b"\xff"]
+    datas = [b"".join(r.choice(bits) + r.choice((b"", b" ", b"\n")) for _ in range(r.randrange(1, 14))) for _ in range(3000)]
+    fast = [read(d, refs) for d in datas for refs in (True, False)]
+    monkeypatch.setattr(objects, "_TOKENS", [re.compile(rb"(?!)")] * 2)
+    assert fast == [read(d, refs) for d in datas for refs in (True, False)]
+
+
+def test_rows_of_many_files_leave_together(spark):
+    """A batch holds the rows of many files."""
+    from docloom.sources.pdf import tables
+    from docloom.sources.pdf.writer import Builder
+
+    sizes = []
+
+    def file(n):
+        b = Builder()
+        for k in range(n):
+            b.page()
+            b.text(50, 700, f"line {k}")
+        return b.finish()
+
+    class Files:
+        """Runs the pass over batches here, to see what leaves it."""
+
+        dtypes, sparkSession = [("doc_id", "bigint"), ("content", "binary")], spark
+        rows = tables.pa.table({"id": [1, 2, 3], "content": [file(1), file(4), b"no file"]}).to_batches()
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            sizes.extend(b.num_rows for b in run(iter(self.rows)))
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    tables.read(Files(), "text_lines")
+    assert sizes == [5]
