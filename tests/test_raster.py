@@ -1,4 +1,5 @@
 import math
+import random
 import struct
 
 import numpy as np
@@ -161,3 +162,27 @@ def test_render_pages(spark):
     assert [(r.doc_id, r.width, r.height) for r in rows] == [("a", 60, 40)]
     pixels = images.png_decode(bytes(rows[0].png))
     assert pixels[0, 0].tolist() == [255] * 3 and pixels[39, 0].tolist() == [0] * 3
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 18])
+@pytest.mark.parametrize("even_odd", [False, True])
+def test_scan_lines_together_cover_what_each_does(monkeypatch, held, even_odd):
+    """Crossings taken many lines at once, in blocks of any size, against one line at a time."""
+    monkeypatch.setattr(raster, "CROSSINGS", held)
+    r = random.Random(8)
+    for _ in range(40):
+        width, height = r.randrange(1, 40), r.randrange(1, 40)
+        shapes = [[(r.uniform(-9, 49), r.choice((r.uniform(-9, 49), r.randrange(-9, 49)))) for _ in range(r.randrange(3, 7))] for _ in range(r.randrange(1, 4))]
+        want = np.zeros((height, width))
+        for s in range(height * raster.ROWS):
+            y, cut = (s + 0.5) / raster.ROWS, []
+            for p in shapes:
+                for (x0, y0), (x1, y1) in zip(p, [*p[1:], p[0]], strict=True):
+                    if min(y0, y1) <= y < max(y0, y1):
+                        cut.append((x0 + (y - y0) * (x1 - x0) / (y1 - y0), 1 if y0 < y1 else -1))
+            cut.sort()
+            for k in range(len(cut) - 1):
+                if (k + 1) % 2 if even_odd else sum(w for _, w in cut[: k + 1]):
+                    a, b = (min(max(cut[k + d][0], 0), width) for d in (0, 1))
+                    want[s // raster.ROWS] += np.clip(np.minimum(b, np.arange(1, width + 1)) - np.maximum(a, np.arange(width)), 0, None)
+        assert np.allclose(raster.fill_mask(shapes, width, height, even_odd), np.minimum(want / raster.ROWS, 1), atol=1e-9)
