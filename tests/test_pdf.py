@@ -308,3 +308,18 @@ def test_rows_of_many_files_leave_together(spark):
 
     tables.read(Files(), "text_lines")
     assert sizes == [5]
+
+
+def test_packed_objects_are_read_when_asked_for(monkeypatch):
+    """Opening a packed file leaves its objects unread; each is read once, and fonts are made once a document."""
+    from docloom.sources.pdf import content, document
+
+    made = []
+    monkeypatch.setattr(content, "Font", lambda doc, d, plain=content.Font: made.append(1) or plain(doc, d))
+    raw = copy(Document(sample(6).finish()), packed=True)
+    doc = Document(raw)
+    packed = [n for n, e in doc.xref.items() if e.kind == "packed"]
+    assert len(packed) > 10 and sum(n in doc.cache for n in packed) <= 2
+    rows = list(tables.TABLES["text_lines"][1](doc))
+    assert len(rows) >= 6 and len(made) == 1
+    assert {n: doc.get(Ref(n)) for n in packed} == {n: document.Document(raw).get(Ref(n)) for n in packed}
