@@ -186,3 +186,23 @@ def test_scan_lines_together_cover_what_each_does(monkeypatch, held, even_odd):
                     a, b = (min(max(cut[k + d][0], 0), width) for d in (0, 1))
                     want[s // raster.ROWS] += np.clip(np.minimum(b, np.arange(1, width + 1)) - np.maximum(a, np.arange(width)), 0, None)
         assert np.allclose(raster.fill_mask(shapes, width, height, even_odd), np.minimum(want / raster.ROWS, 1), atol=1e-9)
+
+
+def test_paint_changes_what_the_mask_covers():
+    """Only rows and columns of the mask are worked on, and what is there is as if all were."""
+    rng = np.random.default_rng(9)
+    for mode in ("Normal", "Multiply", "Screen"):
+        c = raster.Canvas(12, 9)
+        c.colour[:], c.alpha[:], c.own[:] = rng.random((9, 12, 3)), rng.random((9, 12)), rng.random((9, 12))
+        mask = np.zeros((9, 12))
+        mask[2:5, 3:7] = rng.random((3, 4))
+        assert raster._where(mask) == (slice(2, 5), slice(3, 7))
+        colour, alpha, own, a = c.colour.copy(), c.alpha.copy(), c.own.copy(), mask * 0.7
+        union = a + alpha - a * alpha
+        share = (a / union)[..., None]
+        source = np.broadcast_to(np.array([0.2, 0.4, 0.9]), colour.shape)
+        mixed = (1 - alpha[..., None]) * source + alpha[..., None] * raster.blend(mode, colour, source)
+        c.paint(mask, (0.2, 0.4, 0.9), 0.7, mode)
+        assert (c.alpha == union).all() and (c.colour == (1 - share) * colour + share * mixed).all() and (c.own == own + a - own * a).all()
+        c.paint(np.zeros((9, 12)), (0, 0, 0))
+        assert (c.alpha == union).all()
