@@ -174,3 +174,12 @@ def test_png_kinds():
         with pytest.raises(images.ImageError):
             images.png_decode(bad)
     assert images.jpeg_shape(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x03rest") == (32, 16, 3) and images.jpeg_shape(b"x") is None
+
+
+def test_no_entry_is_left_out(monkeypatch):
+    """Archives of more entries than two bytes count are whole; what is beyond the limit is refused aloud."""
+    raw = zipped({f"{i}.txt": b"" for i in range(65_600)})
+    assert len(ar.Archive(raw).entries) == 65_600 and len(ar.Archive(raw[: raw.find(b"PK\x01\x02")]).entries) == 65_600
+    monkeypatch.setattr(ar, "MAX_ENTRIES", 100)
+    with pytest.raises(ValueError, match="entries"):
+        ar.Archive(raw)
