@@ -85,23 +85,16 @@ def probe_record(text: Column) -> Column:
 def fnv1a(text: Column) -> Column:
     """FNV-1a of 64 bits over UTF-8, as 16 hexadecimal digits.
 
-    A product of 64 bits by the prime is one shift by 40 bits and one by the prime's lower part; longs wrap as the hash asks.
+    The prime is 2**40 + 0x1B3: a product goes by halves of 32 bits, so that no step overflows with an error and none is written
+    out twice (sums of shifts, nested, had each the ones before several times over).
     """
     octets = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long"))
+    left = lambda c, n: F.call_function("shiftleft", c, F.lit(n))
 
     def step(acc: Column, b: Column) -> Column:
         x = acc.bitwiseXOR(b)
-        # x * (2**40 + 0x1B3), with shifts for all products so that nothing overflows with an error.
-        total = F.call_function("shiftleft", x, F.lit(40))
-        for bit in (0, 1, 4, 5, 7, 8):
-            total = _wrapping_add(total, F.call_function("shiftleft", x, F.lit(bit)))
-        return total
+        low = x.bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(0x1B3)
+        high = F.shiftrightunsigned(x, 32) * F.lit(0x1B3) + F.shiftrightunsigned(low, 32) + left(x.bitwiseAND(F.lit(0xFFFFFF)), 8)
+        return left(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
 
     return F.lpad(F.lower(F.hex(F.aggregate(octets, F.lit(-3750763034362895579), step))), 16, "0")
-
-
-def _wrapping_add(a: Column, b: Column) -> Column:
-    """a + b modulo 2**64 by halves: plain addition fails on overflow in ANSI mode."""
-    low = a.bitwiseAND(F.lit(0xFFFFFFFF)) + b.bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
-    return F.call_function("shiftleft", high, F.lit(32)).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -148,7 +148,7 @@ SELECT page_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037:
 """)
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FNV-1a of page urls (the tests hold it against known values)."""
-    return table(spark, sf_dir, "pages").select("page_id", maps.fnv1a(F.col("url")).alias("hash"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", maps.fnv1a(F.col("url")).alias("hash"))
 
 
 @query(r"SELECT doc_id, CAST(sum(length(regexp_replace(text, '[ \t\n\r\f]', '', 'g'))) AS BIGINT) AS chars FROM documents GROUP BY doc_id HAVING sum(length(regexp_replace(text, '[ \t\n\r\f]', '', 'g'))) > 0")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import colour, maps, scripts
 from docloom.operators import closure, editing, files, layout
 from docloom.plans import archive_queries
-from docloom.plans.fixtures import Row, files_of, gathered, mapped
+from docloom.plans.fixtures import Row, files_of, gathered, mapped, spread
 from docloom.plans.registry import query, table, typed
 from docloom.sources import open as any_file
 from docloom.sources.pdf import tables as pdf
@@ -293,7 +293,7 @@ def broken_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             pages[r["page"]] = pages.get(r["page"], 0) + 1
         yield from ({"p_partkey": row["p_partkey"], "page": p, "lines": n} for p, n in pages.items())
 
-    return mapped(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey long, page int, lines int", make)
+    return mapped(spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")), "p_partkey long, page int, lines int", make)
 
 
 @query("""
@@ -320,4 +320,4 @@ def any_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     htmls = parts.select((F.col("doc_id") + 10000).alias("doc_id"), html.cast("binary").alias("content"))
     pdfs = files_of(parts, page).withColumn("doc_id", F.col("doc_id") + 1000000)
     junk = parts.select((-F.col("doc_id")).alias("doc_id"), F.lit("nothing").cast("binary").alias("content"))
-    return any_file.text(books.union(fixed).union(htmls).union(pdfs).union(junk)).drop("error")
+    return any_file.text(books.union(fixed).union(spread(htmls)).union(pdfs).union(spread(junk))).drop("error")

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from tests.test_truetype import program
 
+from docloom.functions import maps
 from docloom.operators import layout
+from docloom.plans import QUERIES
 from docloom.sources import mesh, paths, raster, synthesis
 from docloom.sources.pdf import fonts
 from docloom.sources.pdf.document import Document
@@ -150,3 +152,17 @@ def test_shapes_of_fixed_pages():
     assert synthesis._paint("#F00") == (1, 0, 0) and synthesis._paint("#80FF0000") == (1, 0, 0) and synthesis._paint("sc#1,0,0") == (1, 0, 0) and synthesis._paint("{x}") is None
     assert b"1 0 0 rg" in synthesis._shape({"data": "M0,0 L10,0 10,10 Z", "fill": "#F00", "stroke": None, "thickness": 0.75}, 100)
     assert synthesis._shape({"data": "M0,0", "fill": None, "stroke": None, "thickness": 1}, 100) is None
+
+
+@pytest.mark.parametrize("name", ["ciphers", "font_programs", "stream_tiers", "xml_events", "xml_doctypes", "entry_names", "fixed_fonts", "image_round_trip", "face_requests", "path_syntax", "broken_blocks", "file_hashes", "raw_deflate"])
+def test_small_tables_are_dealt_out(spark, name):
+    """A small table is one file: what is done with its rows isn't left to the one task that reads it."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+
+
+def test_fnv1a_is_no_larger_than_it_must(spark):
+    """Known values, and a plan that doesn't hold its own parts hundreds of times."""
+    rows = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(maps.fnv1a("t").alias("h"))
+    assert [r.h for r in rows.collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+    assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 5000
