@@ -166,3 +166,25 @@ def test_fnv1a_is_no_larger_than_it_must(spark):
     rows = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(maps.fnv1a("t").alias("h"))
     assert [r.h for r in rows.collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
     assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 5000
+
+
+@pytest.mark.parametrize("block", [(4096, 1 << 18), (3, 50)])
+def test_triangles_are_painted_in_blocks(monkeypatch, block):
+    """Triangles of a mesh go together, and what covers another is still the last one, as if each went by itself."""
+    monkeypatch.setattr(mesh, "BLOCK_TRIANGLES", block[0])
+    monkeypatch.setattr(mesh, "BLOCK_PIXELS", block[1])
+    calls, repeat = [], np.repeat
+    monkeypatch.setattr(mesh.np, "repeat", lambda *a, **k: calls.append(1) or repeat(*a, **k))
+    rng = np.random.default_rng(3)
+    shapes = [tuple((float(x), float(y), (float(c),)) for x, y, c in t) for t in rng.uniform(-5, 25, (60, 3, 3))]
+    colour, covered = mesh.paint(iter(shapes), (1, 0, 0, 1, 0, 0), 20, 20, 1)
+    want, seen = np.zeros((20, 20)), np.zeros((20, 20), bool)
+    for (xa, ya, (ca,)), (xb, yb, (cb,)), (xc, yc, (cc,)) in shapes:
+        y, x = np.mgrid[0:20, 0:20] + 0.5
+        det = (yb - yc) * (xa - xc) + (xc - xb) * (ya - yc)
+        a, b = ((yb - yc) * (x - xc) + (xc - xb) * (y - yc)) / det, ((yc - ya) * (x - xc) + (xa - xc) * (y - yc)) / det
+        inside = (a >= -1e-9) & (b >= -1e-9) & (a + b <= 1 + 1e-9)
+        want[inside] = (a * ca + b * cb + (1 - a - b) * cc)[inside]
+        seen |= inside
+    assert np.array_equal(seen, covered) and np.allclose(want, colour[..., 0])
+    assert calls and (block[0] < 60 or len(calls) < 60)
