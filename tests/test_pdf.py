@@ -323,3 +323,14 @@ def test_packed_objects_are_read_when_asked_for(monkeypatch):
     rows = list(tables.TABLES["text_lines"][1](doc))
     assert len(rows) >= 6 and len(made) == 1
     assert {n: doc.get(Ref(n)) for n in packed} == {n: document.Document(raw).get(Ref(n)) for n in packed}
+
+
+def test_png_rows_guess_by_their_own_type_alone(monkeypatch):
+    """Rows of the encoder that aren't of the fifth type don't work out its guess."""
+    from docloom.plans import encoders
+
+    calls = []
+    monkeypatch.setattr(encoders, "min", lambda *a, **k: calls.append(1) or min(*a, **k), raising=False)
+    data = bytes(range(240))
+    raw = encoders.png_rows(data, 24, 1, 8)
+    assert len(raw) == 250 and [raw[k * 25] for k in range(10)] == [0, 1, 2, 3, 4] * 2 and len(calls) == 2 * 24
