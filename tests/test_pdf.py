@@ -7,11 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.sources.pdf import crypto, filters, semantics, tables
+from docloom.sources.pdf import crypto, filters, semantics, tables, writer
 from docloom.sources.pdf.content import Interpreter, lines
 from docloom.sources.pdf.document import Document, text_string
 from docloom.sources.pdf.fonts import CMap, base_char, glyph_char
-from docloom.sources.pdf.objects import Keyword, Name, Parser, Ref, Stream, references, renumber, write
+from docloom.sources.pdf.objects import NUMBER, REFERENCE, WRITTEN, Keyword, Name, Parser, Ref, Stream, Written, blank, references, renumber, write
 from docloom.sources.pdf.writer import Builder, copy, import_page, update
 
 
@@ -334,3 +334,55 @@ def test_png_rows_guess_by_their_own_type_alone(monkeypatch):
     data = bytes(range(240))
     raw = encoders.png_rows(data, 24, 1, 8)
     assert len(raw) == 250 and [raw[k * 25] for k in range(10)] == [0, 1, 2, 3, 4] * 2 and len(calls) == 2 * 24
+
+
+def test_plain_objects_are_read_alike():
+    whole = [b"<</A [1 -2 3.5 (x) 4 0 R /N null true] /B <</C (a\\(b\\051)>> /D 9>>", b"[[] <<>> (\\101\n)]", b"<</A 1 0 R /B [1 0 R 2 0 0 R]>>", b"[false[1]/a/b]"]
+    odd = [b"<</A 1 /A 2>>", b"<</A>>", b"<<1 2>>", b"[1 2", b"[1 >>", b"<</A <41>>>", b"[1 % 2\n3]", b"[12345678901 +5 .5]", b"[(a(b)c)]", b"<</A 1]", b"[1e5]", b"[" * 200 + b"]" * 200, b"[foo]"]
+    for raw in whole + odd:
+        for refs in (True, False):
+            short, long = Parser(raw + b" /after"), Parser(raw + b" /after")
+            found = long._dict(0, refs) if raw.startswith(b"<<") else long._array(0, refs)
+            assert repr(short.parse(refs=refs)) == repr(found) and short.pos == long.pos and short.warnings == long.warnings, raw
+            if raw in whole and refs:
+                assert repr(Parser(raw)._plain(refs)) == repr(found)
+
+
+def test_tables_of_references_go_by_sections():
+    objects = {n: {"N": n} for n in range(1, 301)} | {300: {"Type": Name("Catalog")}}
+    raw = writer.rewrite(objects, {"Root": Ref(300)})
+    assert b"xref\n0 301\n0000000000 65535 f \n0000000015 00000 n \n" in raw
+    assert [n for n, _ in Document(raw).all_entries] == list(range(301)) and not Document(raw).repaired
+    new = Document(writer.update(Document(raw), {3: {"N": 0}, 4: {"N": 1}, 9: None}))
+    assert [n for n, e in new.all_entries if e.revision == 0] == [3, 4, 9] and new.get(Ref(4)) == {"N": 1} and new.get(Ref(9)) is None
+    # Lines that aren't 20 bytes long are read one by one.
+    short = raw.replace(b" n \n", b" n\n").replace(b" f \n", b" f\n")
+    assert Document(short).xref == Document(raw).xref and not Document(short).repaired
+
+
+def test_blanks():
+    form = blank({"A": [NUMBER, REFERENCE], "B": b"100% (\x00d)", "C": WRITTEN})
+    value = {"A": [5, Ref(2)], "B": b"100% (9)", "C": b"\0)"}
+    assert form % (5, 2, 9, write(b"\0)")) == write(value)
+    for packed in (False, True):
+        plain = writer.rewrite({1: {"Type": Name("Catalog"), "A": Ref(2)}, 2: value}, {"Root": Ref(1)}, packed=packed)
+        assert writer.rewrite({1: Written(write({"Type": Name("Catalog"), "A": Ref(2)})), 2: Written(write(value))}, {"Root": Ref(1)}, packed=packed) == plain
+    with pytest.raises(ValueError):
+        writer.rewrite({1: {"Type": Name("Catalog")}, 3: Written(b"1")}, {"Root": Ref(1)})
+
+
+def test_shapes_read_what_the_long_way_reads():
+    from docloom.sources.pdf import objects
+
+    make = [
+        lambda n: b"<</Type /X /Kids [%d 0 R %d 0 R]/A %d/B[%d -%d 0.5 (s%d) null]/C<</D true/E[]/F<<>>>>>>" % (n, n + 1, n, n, n, n),
+        lambda n: b"<</Type /X /Kids [%b]/A 1>>" % b" ".join([b"%d 0 R" % i for i in range(n)]),
+        lambda n: b"[%d %d 0 R/Fit]" % (n, n) + b" " * (n % 3),
+        lambda n: b"<</T (%d)/V %b>>" % (n, (b"1", b"1.5", b"1 0 R", b"1 1 R", b"(x)", b"[1]", b"[]", b"(a\\))", b"/N", b"/N1", b"null", b"12345678901")[n % 12]),
+    ]
+    for n in range(80):
+        for raw in (f(n) for f in make):
+            short, long = Parser(raw + b" 0 R"), Parser(raw + b" 0 R")
+            assert repr(short.parse()) == repr(long._dict(0, True) if raw.startswith(b"<<") else long._array(0, True)), raw
+            assert short.pos == long.pos
+    assert any(found for _, found in objects._shapes.values())
