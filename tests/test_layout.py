@@ -84,3 +84,20 @@ def test_floats():
     f = lo.Floats(100, [])
     assert [f.place("left", 40, 20, 0), f.place("right", 40, 10, 0), f.place("left", 40, 10, 0), f.place("left", 10, 5, 0)] == [(0, 0), (60, 0), (40, 10), (80, 10)]
     assert f.edges(12, 1) == (90, 100) and f.clear("left", 0) == 20 and f.clear("right", 3) == 10
+
+
+def test_runs_of_letters_break_as_one_letter():
+    import re
+
+    from docloom.functions import breaking
+
+    text = "Some (quoted) words-and 12.5% or $3 of X's; áb‍c d́ef 一letters一 end\r\nnext, ЖЖ abc/def."
+    long = re.sub(r"[A-Za-z]", lambda m: m[0] * 7, text)
+    at = [0]
+    for c in text:
+        at.append(at[-1] + (7 if c.isascii() and c.isalpha() else 1))
+    assert opportunities(long) == [(at[i], must) for i, must in opportunities(text)]
+    # Whether a line may end is worked out once for classes that meet, not for each character.
+    before = breaking._may.cache_info().misses
+    opportunities(long * 200)
+    assert breaking._may.cache_info().misses - before < 100
