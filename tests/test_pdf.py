@@ -405,3 +405,13 @@ def test_strings_are_placed_as_their_glyphs_one_by_one():
         run.run(doc.contents(page), page["Resources"])
     assert repr(runs[0].glyphs) == repr(runs[1].glyphs) and len(runs[0].glyphs) > 40
     assert repr(runs[0].tm) == repr(runs[1].tm)
+
+
+def test_words_are_read_alike():
+    raw = b"% note\n BT true/A Tj*null% end\r' \" T*[f*]-abc 5x"
+    p = Parser(raw)
+    found = [p.parse(refs=False) for _ in range(12)]
+    assert [(type(x).__name__, x) for x in found[:8]] == [("Keyword", "BT"), ("bool", True), ("Name", "A"), ("Keyword", "Tj*null"), ("Keyword", "'"), ("Keyword", '"'), ("Keyword", "T*"), ("list", [])]
+    assert found[8] == 0 and found[9] == 5 and found[10] == "" and p.warnings.found == {"stray word": 1, "number": 3}
+    # Operators come up again and again, and are made once; long words aren't kept.
+    assert Parser(b" BT").parse() is Parser(b"BT").parse() and Parser(b"w" * 40).parse() == "w" * 40
