@@ -135,7 +135,7 @@ def read(files: DataFrame, table: str, password: str = "", id_col: str = "doc_id
     return rows.mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
 
 
-def _safe(content: bytes | None, make: Callable[[Document], Any], needs_key: bool, password: str) -> Rows:
+def _safe(content: bytes | None, make: Callable[[Document], Any], needs_key: bool, password: str = "") -> Rows:
     """Rows up to the first thing that no rule of leniency covers, and one that names it."""
     try:
         doc = Document(content or b"")

@@ -415,3 +415,45 @@ def test_words_are_read_alike():
     assert found[8] == 0 and found[9] == 5 and found[10] == "" and p.warnings.found == {"stray word": 1, "number": 3}
     # Operators come up again and again, and are made once; long words aren't kept.
     assert Parser(b" BT").parse() is Parser(b"BT").parse() and Parser(b"w" * 40).parse() == "w" * 40
+
+
+def test_shapes_have_arrays_of_any_length():
+    from docloom.sources.pdf import objects
+
+    make = [
+        lambda n: b"<</Limited [(a) (b)] /Names [%b]>>" % b" ".join([b"(k%d) [%d 0 R /Fit]" % (i, i) for i in range(n % 23)]),
+        lambda n: b"<</Filed /Y /Names [%b] /Kids [%b] /S (f\\(%d\\);)>>" % (b" ".join([b"(k%d) %d 0 R" % (i, i) for i in range(n % 19)]), b" ".join([b"%d 0 R" % i for i in range(n % 17)]), n),
+    ]
+    for n in range(80):
+        for raw in (f(n) for f in make):
+            short, long = Parser(raw), Parser(raw)
+            assert repr(short.parse()) == repr(long._dict(0, True)) and short.pos == long.pos
+    # One shape reads them all, but for what an array that is empty or not tells apart.
+    assert all(0 < len(found) <= 3 and read <= 12 for key, (read, found) in objects._shapes.items() if key.startswith((b"<</Limited", b"<</Filed")))
+
+
+def test_entries_are_read_when_asked_for():
+    raw = writer.rewrite({n: {"N": n} for n in range(1, 301)} | {301: {"Type": Name("Catalog")}}, {"Root": Ref(301)})
+    doc = Document(raw)
+    assert doc.catalog() == {"Type": "Catalog"} and doc.get(Ref(7)) == {"N": 7} and not doc._xref
+    assert len(doc.xref) == 302 and doc.get(Ref(300)) == {"N": 300}
+    new = Document(writer.update(Document(raw), {7: {"N": 70}, 8: None}))
+    assert [new.get(Ref(n)) for n in (6, 7, 8)] == [{"N": 6}, {"N": 70}, None] and not new._xref
+    assert new.xref[7].revision == 0 and new.xref[8].kind == "free" and new.xref[6].revision == 1
+    assert [e.revision for n, e in new.all_entries if n == 7] == [0, 1]
+
+
+def test_an_account_is_filled_in_and_a_row_a_slice():
+    import pyarrow as pa
+
+    from docloom.plans import fixtures, pdf_queries
+
+    for n in range(1, 40):
+        orders = [{"o_orderkey": 7 * n + k, "o_orderpriority": f"{k % 5}-(P", "o_orderstatus": "O"} for k in range(n)]
+        for packed in (0, 1):
+            doc = Document(pdf_queries.account({"doc_id": 2 * n + packed, "rows": orders}))
+            assert not doc.repaired and not doc.warnings.found and len(doc.pages()) == n
+            assert all(v is not None for _, _, v in doc.objects())
+            assert [r["title"] for r in semantics.outline(doc)][::2] == [f"Order {7 * n + k}" for k in range(n)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "rows": [{"k": j, "p": str(j)} for j in range(i % 4)]} for i in range(40)])
+    assert fixtures._rows(batch) == batch.to_pylist() and fixtures._rows(batch.slice(5, 9)) == batch.slice(5, 9).to_pylist()
